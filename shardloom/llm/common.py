@@ -75,12 +75,12 @@ def learnable(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus != remainder, F.lit(False))
 
 
-def sample_by_class(df: DataFrame, label: str, per_class: int, max_classes: int = 64) -> DataFrame:
+def sample_by_class(df: DataFrame, label: str, per_class: int, by: str, max_classes: int = 64) -> DataFrame:
     """About `per_class` rows of each label, at most 1.25 times as many in all.
 
     The documented bound on what a classifier is fitted on. Labels beyond the
-    `max_classes` commonest are not learned. Rows are chosen by a hash of their
-    text, so the sample doesn't depend on partitioning.
+    `max_classes` commonest are not learned. Rows are chosen by a hash of column
+    `by`, so the sample doesn't depend on partitioning.
     """
     counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
     if not counts:
@@ -88,9 +88,22 @@ def sample_by_class(df: DataFrame, label: str, per_class: int, max_classes: int
     share = F.lit(0.0)
     for row in counts:
         share = F.when(F.col(label) == F.lit(row[0]), F.lit(min(1.0, per_class / row[1]))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col("text"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.col(by), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     picked = df.withColumn("_draw", draw).where(F.col("_draw") < share)
-    return picked.orderBy("_draw", "text").limit(int(1.25 * per_class * len(counts))).drop("_draw")
+    return picked.orderBy("_draw", by).limit(int(1.25 * per_class * len(counts))).drop("_draw")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, remainder: int) -> list:
+    """At most 2.5 * `per_class` rows (text, _y) outside the held-out fold.
+
+    Ids are drawn from the labels first, so no text is shuffled; the drawn ids
+    are bounded by `per_class` and so may be broadcast. Labels other than 0 and
+    1 are passed over; an id labelled twice counts as 1 if either is.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & learnable("doc_id", modulus, remainder)).groupBy("doc_id").agg(F.max(label).alias("_y"))
+    drawn = sample_by_class(known, "_y", per_class, "doc_id")
+    most = int(2.5 * per_class)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "_y").orderBy(F.xxhash64("text"), "text").limit(most).collect()
 
 
 # ---------------------------------------------------------------- bytes and words

@@ -110,9 +110,7 @@ def train(texts: tuple[np.ndarray, np.ndarray], y: np.ndarray, dim: int = 8, epo
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int = 3, remainder: int = 1) -> Model:
     """Learn `label` from at most about 2.5 * `per_class` rows outside the held-out fold."""
-    rows = docs.where(C.learnable("doc_id", modulus, remainder)).select("doc_id", "text")
-    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("_y"))
-    got = C.sample_by_class(rows.join(known, "doc_id").select("text", "_y"), "_y", per_class).collect()
+    got = C.labelled_sample(docs, labels, label, per_class, modulus, remainder)
     return train(C.texts_of(got), np.array([r["_y"] for r in got], np.int64))
 
 

@@ -8,4 +8,5 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+}
