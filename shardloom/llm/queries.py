@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .quality import op8_quality_classifier
+from .tokencount import op1_token_counts
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
