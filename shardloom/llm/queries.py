@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .lm import op2_lm_scoring
 from .quality import op8_quality_classifier
 from .tokencount import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_lm_scoring": op2_lm_scoring,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
