@@ -5,10 +5,12 @@ from __future__ import annotations
 from .lm import op2_lm_scoring
 from .quality import op8_quality_classifier
 from .tokencount import op1_token_counts
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scoring": op2_lm_scoring,
+    "op6_toxicity": op6_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
