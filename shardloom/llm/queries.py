@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .langid import op7_language_id
 from .lm import op2_lm_scoring
 from .quality import op8_quality_classifier
 from .tokencount import op1_token_counts
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scoring": op2_lm_scoring,
     "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
