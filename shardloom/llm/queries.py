@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP4_SQL, op4_benchmark_decontamination
 from .langid import op7_language_id
 from .lm import op2_lm_scoring
 from .quality import op8_quality_classifier
@@ -11,10 +12,12 @@ from .toxicity import op6_toxicity
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scoring": op2_lm_scoring,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": OP4_SQL,
 }
