@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_benchmark_decontamination
 from .langid import op7_language_id
+from .license import op10_license_scan
 from .lm import op2_lm_scoring
 from .quality import op8_quality_classifier
 from .tokencount import op1_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
