@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_benchmark_decontamination
+from .jaccard import OP9_SQL, op9_ngram_jaccard_join
 from .langid import op7_language_id
 from .license import op10_license_scan
 from .lm import op2_lm_scoring
@@ -17,9 +18,11 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": OP4_SQL,
+    "op9_ngram_jaccard_join": OP9_SQL,
 }
