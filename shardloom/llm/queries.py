@@ -7,6 +7,7 @@ from .jaccard import OP9_SQL, op9_ngram_jaccard_join
 from .langid import op7_language_id
 from .license import op10_license_scan
 from .lm import op2_lm_scoring
+from .mixing import op3_mix_sources
 from .neardup import OP5_SQL, op5_embedding_near_dedup
 from .quality import op8_quality_classifier
 from .tokencount import op1_token_counts
@@ -15,6 +16,7 @@ from .toxicity import op6_toxicity
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_mix_sources": op3_mix_sources,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_toxicity": op6_toxicity,
