@@ -16,8 +16,10 @@ number, its signature. With m segments:
 Which of the two a band uses, is decided by cost: signatures written plus
 chance partners expected from the band's number of sets (`allocate`).
 
-Sets that share a signature are verified exactly, but never as all pairs of a
-group: each meets the smallest of its group first. What that leaves open - a
+Candidates first compare sketches: two sets' parity bits differ in no more cells
+than the sets do in elements, so a pair whose sketches differ in more than H
+cells cannot be linked. The rest are verified exactly, but never as all pairs of
+a group: each meets the smallest of its group first. What that leaves open - a
 group whose members are still in different components after a failed
 verification - is then compared pair by pair across components, so no link
 between components is lost. Links inside one component change nothing.
@@ -37,7 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -46,6 +48,10 @@ from . import graph
 RATIO = 1.4
 #: Bits of the filter that keeps sets without a partner out of the shuffle; false positives only cost time.
 FILTER_BITS = 25
+#: Chance that two unrelated sets hold the same n-gram where each holds one, for the cost of chance partners.
+SHARED = 1e-3
+#: Bytes of a set's sketch: the parity of its elements in 8 * SKETCH cells.
+SKETCH = 64
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -108,16 +114,44 @@ class Sets:
         return new
 
 
+def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    n = len(first) - 1
+    cell = ((h * _ODD) >> np.uint64(40)).astype(np.int64) % (8 * SKETCH)
+    doc = np.repeat(np.arange(n), np.diff(first))
+    parity = np.bincount(doc * (8 * SKETCH) + cell, minlength=n * 8 * SKETCH) & 1
+    return np.packbits(parity.astype(bool).reshape(n, 8 * SKETCH), axis=1)
+
+
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node) for every row; node is null for the empty set."""
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    """(doc_id, n_shingles, node, sketch) for every row; node and sketch are null for the empty set."""
+    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
-        for part, _, first, key, _ in Sets(n, False).of(batches):
+        for part, h, first, key, _ in Sets(n, False).of(batches):
             size = np.diff(first)
-            yield C.batch_of(kind, doc_id=part.column(0).cast(pa.int64()), n_shingles=size, node=pa.array(key, pa.int64(), mask=size == 0))
+            marks = pa.array([x.tobytes() if k else None for x, k in zip(sketches(h, first), size.tolist(), strict=True)], pa.binary())
+            yield C.batch_of(kind, doc_id=part.column(0).cast(pa.int64()), n_shingles=size, node=pa.array(key, pa.int64(), mask=size == 0), sketch=marks)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The `pairs` (a, b) that sizes and sketches leave possible; `nodes`: node, n_shingles, sketch, each once."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            bits = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            apart = np.bitwise_count(bits(3) ^ bits(5)).sum(1)
+            # elements they may differ in: sizes and differences are whole
+            most = (100 - percent) * (na + nb) // (100 + percent)
+            ok = (apart <= most) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            yield C.batch_of(kind, a=batch.column(0).filter(pa.array(ok)), b=batch.column(1).filter(pa.array(ok)))
+
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- signatures
@@ -135,15 +169,15 @@ def bands(largest: int) -> list[tuple[int, int]]:
 def allocate(low: int, high: int, sets: int, percent: int) -> tuple[int, int, bool]:
     """(segments, segments a set leaves out, deletions) of least expected cost for the band."""
     h = (100 - percent) * 2 * high // (100 + percent)
-    mean, chance = math.sqrt(low * high), 0.02
+    mean = math.sqrt(low * high)
     m1 = -(-(h + 1) // 2)
-    best = (m1 + mean + sets * m1 * math.exp(-0.9 * mean / m1), m1, 0, True)
+    best = (m1 + mean + sets * m1 * math.exp(-0.9 * mean / m1) * SHARED, m1, 0, True)
     for left_out in range(0, 2 + h // 4):
         m = h + 1 + 2 * left_out
         load = low / m
         scarce = max(0.0, m * (1 + load) * math.exp(-load) - left_out)
         pairs = m * load * load / 2 * math.exp(-load)
-        best = min(best, (m - left_out + sets * (scarce * chance + pairs * chance * chance), m, left_out, False))
+        best = min(best, (m - left_out + sets * (scarce * SHARED + pairs * SHARED * SHARED), m, left_out, False))
     return best[1:]
 
 
@@ -238,12 +272,13 @@ def verify(docs: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     only = filter_of(nodes)
     kind = pa.schema([("node", pa.int64()), ("members", pa.binary())])
+    # the upper six bytes of each hash: two elements of a pair of sets coincide with a chance of 2^-48
 
     def run(batches):
         for _, h, first, key, fresh in Sets(n, True).of(batches):
             rows = np.flatnonzero(fresh & passes(only.value, key))
             if len(rows):
-                yield C.batch_of(kind, node=key[rows], members=[h[first[i] : first[i + 1]].tobytes() for i in rows])
+                yield C.batch_of(kind, node=key[rows], members=[h[first[i] : first[i + 1]].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for i in rows])
 
     sets = docs.select("doc_id", "text").mapInArrow(run, "node long, members binary")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
@@ -253,8 +288,9 @@ def verify(docs: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame
             a, b = batch.column(2), batch.column(3)
             linked = np.zeros(len(batch), bool)
             for i in range(len(batch)):
-                x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
+                both = np.zeros((len(a[i].as_buffer()) + len(b[i].as_buffer())) // 6 * 8, np.uint8).reshape(-1, 8)
+                both[:, 2:] = np.frombuffer(a[i].as_py() + b[i].as_py(), np.uint8).reshape(-1, 6)
+                both = both.reshape(-1).view(np.uint64)
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 linked[i] = 100 * common >= percent * (len(both) - common)
@@ -277,31 +313,35 @@ def component_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     held = {r["band"]: r["c"] for r in sizes.groupBy(band.alias("band")).agg(F.sum("c").alias("c")).collect()} if edges else {}  # a row a band
     plans = [(low, high, allocate(low, high, held.get(i, 0), percent)) for i, (low, high) in enumerate(edges)]
 
+    nodes = C.materialize(sets.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+
     # every set meets the smallest one of each of its groups
-    w = F.min("node").over(_by("sig"))
-    led = signatures(docs, n, percent, plans).select("node", w.alias("leader")).where("node <> leader")
+    led = signatures(docs, n, percent, plans).select("node", F.min("node").over(_by("sig")).alias("leader")).where("node <> leader")
     led = C.materialize(led.groupBy("node", "leader").agg(F.count("*").alias("n")))
-    best = led.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("m")).select(F.col("node").alias("a"), F.col("m.leader").alias("b"))
-    tried = C.materialize(verify(docs, n, percent, C.materialize(best)))
+    pairs = led.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    likely = C.materialize(alike(pairs, nodes, percent))
+    # the one it shares most with first; then others, where they could still join components
+    best = likely.join(led.select(F.col("node").alias("a"), F.col("leader").alias("b"), "n"), ["a", "b"]).groupBy("a").agg(F.max(F.struct("n", "b")).alias("m"))
+    tried = C.materialize(verify(docs, n, percent, C.materialize(best.select("a", F.col("m.b").alias("b")))))
     roots = graph.components(tried.where("linked"))
-    # other leaders, where it could still join components
-    rest = led.select(F.col("node").alias("a"), F.col("leader").alias("b")).join(tried, ["a", "b"], "left_anti")
-    rest = C.materialize(_across(rest, roots))
+    rest = C.materialize(_across(likely.join(tried, ["a", "b"], "left_anti"), roots))
     if rest.limit(1).count():
         tried = C.materialize(tried.union(verify(docs, n, percent, rest)))
         roots = graph.components(tried.where("linked"))
-    # groups in which a verification failed: across components, pair by pair
-    failed = C.materialize(_across(tried.where("not linked").select("a", "b"), roots))
-    if failed.limit(1).count():
-        leaders = failed.select(F.col("b").alias("leader")).distinct()
+    # groups whose sets are still in different components: across those, pair by pair
+    apart = C.materialize(_across(pairs, roots))
+    if apart.limit(1).count():
+        leaders = apart.select(F.col("b").alias("leader")).distinct()
         members = led.join(leaders, "leader", "left_semi").select("node").union(leaders).distinct()
         members = C.materialize(members.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-        again = signatures(docs, n, percent, plans, filter_of(members)).join(members, "node").distinct()
-        again = C.materialize(again)
+        again = signatures(docs, n, percent, plans, filter_of(members)).join(members, "node").groupBy("sig", "node", "root").count()
+        # a group of two is its leader and the one that met it
+        w = Window.partitionBy("sig")
+        again = C.materialize(again.select("sig", "node", "root", F.count("*").over(w).alias("size"), F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi")).where("size > 2 and lo <> hi"))
         one, two = again.select("sig", F.col("node").alias("a"), F.col("root").alias("ra")), again.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
         open_ = one.join(two, "sig").where("ra <> rb and a < b").select("a", "b").distinct()
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        open_ = C.materialize(open_.join(known, ["a", "b"], "left_anti"))
+        known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        open_ = C.materialize(alike(open_.join(known, ["a", "b"], "left_anti"), nodes, percent))
         if open_.limit(1).count():
             tried = tried.union(verify(docs, n, percent, open_))
             roots = graph.components(tried.where("linked"))
@@ -312,8 +352,6 @@ def component_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _by(column: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(column).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
