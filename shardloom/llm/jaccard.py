@@ -49,9 +49,7 @@ RATIO = 1.4
 #: Bits of the filter that keeps sets without a partner out of the shuffle; false positives only cost time.
 FILTER_BITS = 25
 #: Chance that two unrelated sets hold the same n-gram where each holds one, for the cost of chance partners.
-SHARED = 1e-3
-#: Bytes of a set's sketch: the parity of its elements in 8 * SKETCH cells.
-SKETCH = 64
+SHARED = 2e-3
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -114,12 +112,25 @@ class Sets:
         return new
 
 
-def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    n = len(first) - 1
-    cell = ((h * _ODD) >> np.uint64(40)).astype(np.int64) % (8 * SKETCH)
-    doc = np.repeat(np.arange(n), np.diff(first))
-    parity = np.bincount(doc * (8 * SKETCH) + cell, minlength=n * 8 * SKETCH) & 1
-    return np.packbits(parity.astype(bool).reshape(n, 8 * SKETCH), axis=1)
+def sketches(h: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """Parity of each set's elements in 2^k cells, as many as it has elements or up to twice that, 64 at least."""
+    size = np.diff(first)
+    cells = np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(cells)])
+    doc = np.repeat(np.arange(len(size)), size)
+    cell = ((h * _ODD) >> np.uint64(30)).astype(np.int64) & (cells[doc] - 1)
+    bits = np.packbits((np.bincount(begin[doc] + cell, minlength=begin[-1]) & 1).astype(bool), bitorder="little")
+    return [bits[a // 8 : b // 8].tobytes() if n else None for n, a, b in zip(size.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Cells in which two sketches differ; a larger one is folded, which keeps parities."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -129,7 +140,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for part, h, first, key, _ in Sets(n, False).of(batches):
             size = np.diff(first)
-            marks = pa.array([x.tobytes() if k else None for x, k in zip(sketches(h, first), size.tolist(), strict=True)], pa.binary())
+            marks = pa.array(sketches(h, first), pa.binary())
             yield C.batch_of(kind, doc_id=part.column(0).cast(pa.int64()), n_shingles=size, node=pa.array(key, pa.int64(), mask=size == 0), sketch=marks)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
@@ -143,11 +154,10 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            bits = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            apart = np.bitwise_count(bits(3) ^ bits(5)).sum(1)
+            cells = np.array([apart(a.as_py(), b.as_py()) for a, b in zip(batch.column(3), batch.column(5), strict=True)], np.int64)
             # elements they may differ in: sizes and differences are whole
             most = (100 - percent) * (na + nb) // (100 + percent)
-            ok = (apart <= most) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            ok = (cells <= most) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             yield C.batch_of(kind, a=batch.column(0).filter(pa.array(ok)), b=batch.column(1).filter(pa.array(ok)))
 
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
@@ -318,11 +328,13 @@ def component_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # every set meets the smallest one of each of its groups
     led = signatures(docs, n, percent, plans).select("node", F.min("node").over(_by("sig")).alias("leader")).where("node <> leader")
     led = C.materialize(led.groupBy("node", "leader").agg(F.count("*").alias("n")))
+    C.release(docs.sparkSession)
     pairs = led.select(F.col("node").alias("a"), F.col("leader").alias("b"))
     likely = C.materialize(alike(pairs, nodes, percent))
     # the one it shares most with first; then others, where they could still join components
     best = likely.join(led.select(F.col("node").alias("a"), F.col("leader").alias("b"), "n"), ["a", "b"]).groupBy("a").agg(F.max(F.struct("n", "b")).alias("m"))
     tried = C.materialize(verify(docs, n, percent, C.materialize(best.select("a", F.col("m.b").alias("b")))))
+    C.release(docs.sparkSession)
     roots = graph.components(tried.where("linked"))
     rest = C.materialize(_across(likely.join(tried, ["a", "b"], "left_anti"), roots))
     if rest.limit(1).count():
@@ -338,6 +350,7 @@ def component_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
         # a group of two is its leader and the one that met it
         w = Window.partitionBy("sig")
         again = C.materialize(again.select("sig", "node", "root", F.count("*").over(w).alias("size"), F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi")).where("size > 2 and lo <> hi"))
+        C.release(docs.sparkSession)
         one, two = again.select("sig", F.col("node").alias("a"), F.col("root").alias("ra")), again.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
         open_ = one.join(two, "sig").where("ra <> rb and a < b").select("a", "b").distinct()
         known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
