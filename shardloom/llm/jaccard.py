@@ -290,7 +290,8 @@ def verify(docs: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame
             if len(rows):
                 yield C.batch_of(kind, node=key[rows], members=[h[first[i] : first[i + 1]].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for i in rows])
 
-    sets = docs.select("doc_id", "text").mapInArrow(run, "node long, members binary")
+    # read by both joins: written once rather than made twice
+    sets = C.materialize(docs.select("doc_id", "text").mapInArrow(run, "node long, members binary"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
     def compare(batches):
@@ -306,7 +307,7 @@ def verify(docs: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame
                 linked[i] = 100 * common >= percent * (len(both) - common)
             yield C.batch_of(out, a=batch.column(0), b=batch.column(1), linked=linked)
 
-    # copies in other tasks may have left a set more than once; the answer is the same
+    # copies in other tasks may have left a set more than once; the answers are the same
     left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return rows.mapInArrow(compare, "a long, b long, linked boolean").distinct()
