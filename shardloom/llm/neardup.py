@@ -56,7 +56,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def project(vectors: DataFrame, passes: int, seed: int = 17) -> DataFrame:
     """(turn, part, code, node, embedding): each vector once a pass, with its concatenated hashes."""
-    kind = pa.schema([("turn", pa.int32()), ("part", pa.int64()), ("code", pa.int64()), ("node", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    value = pa.float32() if element == "float" else pa.float64()
+    kind = pa.schema([("turn", pa.int32()), ("part", pa.int64()), ("code", pa.int64()), ("node", pa.int64()), ("embedding", pa.list_(value))])
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
@@ -72,9 +74,9 @@ def project(vectors: DataFrame, passes: int, seed: int = 17) -> DataFrame:
                     bit = (x @ planes[dim] > 0).reshape(len(own), passes, BITS)
                     code = bit @ (1 << np.arange(BITS, dtype=np.int64)[::-1])
                     for turn in range(passes):
-                        yield C.batch_of(kind, turn=np.full(len(own), turn, np.int32), part=own.column(1), code=code[:, turn], node=own.column(0), embedding=own.column(2).cast(pa.list_(pa.float64())))
+                        yield C.batch_of(kind, turn=np.full(len(own), turn, np.int32), part=own.column(1), code=code[:, turn], node=own.column(0), embedding=own.column(2).cast(pa.list_(value)))
 
-    return vectors.select("node", "part", "embedding").mapInArrow(run, "turn int, part long, code long, node long, embedding array<double>")
+    return vectors.select("node", "part", "embedding").mapInArrow(run, f"turn int, part long, code long, node long, embedding array<{'float' if element == 'float' else 'double'}>")
 
 
 def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
