@@ -108,6 +108,23 @@ def test_lm_probabilities_sum_to_one(spark):
     assert np.allclose(np.exp(model.logp.astype(float)).sum(-1), 1, atol=1e-4)
 
 
+def test_lm_vocabulary_and_training_grow_with_the_corpus(spark):
+    # 1,500 pairs of words, each pair always in this order: told by context vectors only
+    rows = [(i, " ".join(f"a{j % 1500} b{j % 1500}" for j in range(7 * i, 7 * i + 40))) for i in range(1500)]
+    docs = documents(spark, rows)
+    model, counts = lm_rows(spark, docs)
+    own = lm.Layout(len(model.short))
+    assert model.distinct == len(model.short) == 3001 and own.blocks > 1
+    rng = np.random.default_rng(0)
+    for one, two in rng.integers(0, 3003, (5, 2)):
+        p = np.exp(model.log_probabilities(np.arange(3002), np.full(3002, one), np.full(3002, two)))
+        assert np.isclose(p.sum(), 1, atol=1e-4)
+    out = [r for r in lm.score(docs, model, counts).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out)
+    print("gain a token", gain)
+    assert gain > 0.3
+
+
 def test_mobius_scan():
     rng = np.random.default_rng(1)
     a, b, c, d = rng.random((4, 1000)) + 0.1
