@@ -5,7 +5,10 @@ random hashes (signs of random projections) and compares every vector with its
 neighbours in that order, in double precision; verified pairs of all passes are
 united. A pair at the threshold agrees in a bit with probability
 1 - arccos(t) / pi, so the number of passes follows from the size of the largest
-label and the recall asked for (`passes_for`).
+label and the recall asked for (`passes_for`), if vectors are spread evenly. How
+many bits it really takes to tell a vector from those it does not link with is
+measured on each label (`measure`); labels whose vectors share a direction get
+more passes, or are compared whole in blocks where that costs less.
 
 Equal vectors are compared once and counted with their copies. A window bounds
 what one pass compares, so large groups need more: after the components are
@@ -36,6 +39,10 @@ BITS = 32
 WINDOW = 128
 #: Vectors of a component that are compared at a time.
 BLOCK = 1024
+#: Vectors of a label that measure() takes bits from, those it takes them for, and passes it looks at.
+SAMPLE, QUERIES, PILOTS = 4096, 256, 8
+#: Passes a label may need before it is compared whole instead, if small enough; and what stands for no number being enough.
+PASSES, ENDLESS = 64, 1 << 20
 
 
 def passes_for(largest: int, threshold: float, recall: float) -> int:
@@ -54,29 +61,84 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def project(vectors: DataFrame, passes: int, seed: int = 17) -> DataFrame:
-    """(turn, part, code, node, embedding): each vector once a pass, with its concatenated hashes."""
+def measure(x: np.ndarray, size: int, threshold: float, recall: float, seed: int = 17) -> int:
+    """Passes that a label of `size` vectors needs for `recall`, from unit rows `x` drawn from it evenly.
+
+    A pair is neighbours in a pass if it agrees in the bits after which fewer
+    than half a window of others, not linked with it, are left beside it.
+    """
+    rng = np.random.default_rng([seed, len(x)])
+    of = rng.permutation(len(x))[:QUERIES]
+    other = x[of] @ x.T < threshold
+    agree = (1 - math.acos(threshold) / math.pi) ** np.append(np.arange(BITS + 1), np.inf)
+    once = np.zeros(len(of))
+    for _ in range(PILOTS):
+        code = (x @ rng.normal(size=(x.shape[1], BITS)) > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])
+        alike = BITS - np.frexp((code[of][:, None] ^ code[None, :]).astype(np.float64))[1]
+        left = np.stack([((alike >= d) & other).sum(1) for d in range(BITS + 1)], 1) * (size / len(x)) < WINDOW / 2
+        once += agree[np.where(left.any(1), left.argmax(1), BITS + 1)] / PILOTS
+    need = 4
+    while need < ENDLESS and np.mean((1 - once) ** need) > 1 - recall:
+        need = math.ceil(need * 1.25)
+    return min(need, ENDLESS)
+
+
+def needed(vectors: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(part, size, need): vectors of each label and the passes they need."""
+    sizes = vectors.groupBy("part").agg(F.count("*").alias("size"))
+    drawn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) < F.lit(SAMPLE * float(1 << 30)) / F.col("size")
+    sample = vectors.join(sizes, "part").where(drawn).select("part", "size", "embedding")
+
+    def run(rows):
+        size = rows["size"][0].as_py()
+        need = 4 if size <= WINDOW else measure(_matrix(rows["embedding"].combine_chunks()), size, threshold, recall)
+        return pa.table({"part": rows["part"][:1], "size": [size], "need": pa.array([need], pa.int32())})
+
+    return sample.groupBy("part").applyInArrow(run, "part long, size long, need int")
+
+
+def compared_whole(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join whatever is linked among `vectors` (node, part, size, embedding), all compared in blocks."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    spread = vectors.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sent = spread.select("part", "node", "embedding", "block", other)
+    sent = sent.select("part", "node", "embedding", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def run(key, rows):
+        first = np.flatnonzero(rows["block"].to_numpy() == key[1].as_py())
+        second = np.flatnonzero(rows["block"].to_numpy() != key[1].as_py())
+        x, node = _matrix(rows["embedding"].combine_chunks()), rows["node"].to_numpy()
+        order = np.concatenate([first, second])
+        r, c = forest(x[first] @ x[order].T >= threshold)
+        return pa.table({"a": node[order][r], "b": node[order][c]})
+
+    return sent.groupBy("part", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def project(vectors: DataFrame, seed: int = 17) -> DataFrame:
+    """(turn, part, code, node, embedding): each vector once in each of its `passes`, with its concatenated hashes."""
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
     value = pa.float32() if element == "float" else pa.float64()
     kind = pa.schema([("turn", pa.int32()), ("part", pa.int64()), ("code", pa.int64()), ("node", pa.int64()), ("embedding", pa.list_(value))])
 
     def run(batches):
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        power = 1 << np.arange(BITS, dtype=np.int64)[::-1]
         for batch in batches:
             for i in range(0, len(batch), 2048):
                 rows = batch.slice(i, 2048)
-                size = np.asarray(rows.column(2).value_lengths())
-                for dim in np.unique(size).tolist():
-                    own = rows.take(pa.array(np.flatnonzero(size == dim)))
-                    x = _matrix(own.column(2))
-                    if dim not in planes:
-                        planes[dim] = np.random.default_rng(seed + dim).normal(size=(dim, passes * BITS))
-                    bit = (x @ planes[dim] > 0).reshape(len(own), passes, BITS)
-                    code = bit @ (1 << np.arange(BITS, dtype=np.int64)[::-1])
-                    for turn in range(passes):
-                        yield C.batch_of(kind, turn=np.full(len(own), turn, np.int32), part=own.column(1), code=code[:, turn], node=own.column(0), embedding=own.column(2).cast(pa.list_(value)))
+                size, passes = np.asarray(rows.column(2).value_lengths()), rows.column(3).to_numpy()
+                for dim, most in np.unique(np.column_stack([size, passes]), axis=0).tolist():
+                    own = rows.take(pa.array(np.flatnonzero((size == dim) & (passes == most))))
+                    x, embedding = _matrix(own.column(2)), own.column(2).cast(pa.list_(value))
+                    for turn in range(most):
+                        if (dim, turn) not in planes:
+                            planes[dim, turn] = np.random.default_rng([seed, dim, turn]).normal(size=(dim, BITS))
+                        code = (x @ planes[dim, turn] > 0) @ power
+                        yield C.batch_of(kind, turn=np.full(len(own), turn, np.int32), part=own.column(1), code=code, node=own.column(0), embedding=embedding)
 
-    return vectors.select("node", "part", "embedding").mapInArrow(run, f"turn int, part long, code long, node long, embedding array<{'float' if element == 'float' else 'double'}>")
+    return vectors.select("node", "part", "embedding", "passes").mapInArrow(run, f"turn int, part long, code long, node long, embedding array<{'float' if element == 'float' else 'double'}>")
 
 
 def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,13 +223,18 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, recall: float = 0
     good = F.coalesce(F.col("label").isNotNull() & (F.size(x) > 0) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
     rows = table.select("vec_id", F.when(good, F.xxhash64("label", "embedding")).alias("node"), F.xxhash64("label", F.size(x)).alias("part"), "embedding")
     vectors = C.materialize(rows.where("node is not null").groupBy("node").agg(F.first("part").alias("part"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
-    largest = vectors.groupBy("part").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest, threshold, recall)
-    projected = project(vectors, passes)
+    plan = C.materialize(needed(vectors, threshold, recall))
+    least_passes = passes_for(plan.agg(F.max("size")).first()[0] or 0, threshold, recall)
+    plan = plan.withColumn("whole", (F.col("need") > PASSES) & (F.col("size") <= F.col("need") * (BLOCK // 2)))
+    planned = vectors.select("node", "part", "embedding").join(plan.withColumn("passes", F.greatest("need", F.lit(least_passes))), "part")
+    projected = project(planned.where("not whole"))
     n = max(4, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # the node breaks ties, so that equal codes spread over partitions
     ordered = projected.repartitionByRange(n, "turn", "part", "code", "node").sortWithinPartitions("turn", "part", "code", "node")
-    links = C.materialize(neighbours(ordered, threshold).distinct())
+    links = neighbours(ordered, threshold)
+    if plan.where("whole").limit(1).count():
+        links = links.union(compared_whole(planned.where("whole"), threshold))
+    links = C.materialize(links.distinct())
     roots = C.materialize(graph.components(links))
     members = roots.join(vectors, "node").select("node", "root", "copies", "embedding")
     linked = link_counts(members, threshold)

@@ -240,6 +240,26 @@ def test_embeddings(spark):
     assert neardup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_that_share_a_direction(spark):
+    rng = np.random.default_rng(3)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    n, dim, cosine = 8_000, 256, 0.9
+    common = unit(rng.normal(size=dim))
+    x = unit(np.sqrt(cosine) * common + np.sqrt(1 - cosine) * unit(rng.normal(size=(n, dim))))
+    for i in range(0, 600, 2):  # planted pairs at 0.94 or so
+        x[i + 1] = unit(np.sqrt(cosine) * common + np.sqrt(1 - cosine) * unit(0.4 * unit(x[i] - (x[i] @ common) * common) + 0.917 * unit(rng.normal(size=dim))))
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    linked = near.sum(1)
+    assert linked.sum() > 200
+    table = spark.createDataFrame([(i, "one", v.tolist()) for i, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(table).collect()}
+    assert [got[i] for i in range(n)] == linked.tolist()
+
+
 def test_forest_joins_what_the_links_join():
     rng = np.random.default_rng(6)
     for share in (0.02, 0.2, 0.9):
