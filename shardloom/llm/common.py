@@ -82,14 +82,14 @@ def learnable(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus != remainder, F.lit(False))
 
 
-def sample_by_class(df: DataFrame, label: str, per_class: int, by: str, max_classes: int = 64) -> DataFrame:
+def sample_by_class(df: DataFrame, label: str, per_class: int, by: str) -> DataFrame:
     """About `per_class` rows of each label, at most 1.25 times as many in all.
 
-    The documented bound on what a classifier is fitted on. Labels beyond the
-    `max_classes` commonest are not learned. Rows are chosen by a hash of column
+    The documented bound on what a classifier is fitted on. Every label is
+    learned. Rows are chosen by a hash of column
     `by`, so the sample doesn't depend on partitioning.
     """
-    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
+    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).collect()
     if not counts:
         return df.limit(0)
     share = F.lit(0.0)

@@ -214,6 +214,12 @@ def test_language(spark):
     assert langid.apply(docs.limit(0), model).count() == 0
 
 
+def test_sample_learns_every_class(spark):
+    rows = [(f"text {i}", f"l{i % 70:02d}") for i in range(700)]
+    got = C.sample_by_class(spark.createDataFrame(rows, "text string, _y string"), "_y", 5, "text").collect()
+    assert {r._y for r in got} == {y for _, y in rows}
+
+
 def test_folds_follow_crc32(spark):
     import zlib
 
