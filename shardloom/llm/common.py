@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once in a Python worker; a longer text is a chunk of its own.
@@ -83,21 +83,19 @@ def learnable(doc_id: str, modulus: int, remainder: int) -> Column:
 
 
 def sample_by_class(df: DataFrame, label: str, per_class: int, by: str) -> DataFrame:
-    """About `per_class` rows of each label, at most 1.25 times as many in all.
+    """About `per_class` rows of each label with different values of `by`, at most 1.25 times as many of each.
 
     The documented bound on what a classifier is fitted on. Every label is
-    learned. Rows are chosen by a hash of column
-    `by`, so the sample doesn't depend on partitioning.
+    learned. Values are chosen by a hash of column `by`, so the sample doesn't
+    depend on partitioning, and copies of a value count once in each label.
     """
-    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).collect()
-    if not counts:
-        return df.limit(0)
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(label) == F.lit(row[0]), F.lit(min(1.0, per_class / row[1]))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(by), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    picked = df.withColumn("_draw", draw).where(F.col("_draw") < share)
-    return picked.orderBy("_draw", by).limit(int(1.25 * per_class * len(counts))).drop("_draw")
+    hashed = df.where(F.col(label).isNotNull()).withColumn("_h", F.xxhash64(F.col(by), F.lit(11)))
+    counts = hashed.select(label, "_h").distinct().groupBy(label).agg(F.count("*").alias("_n"))
+    draw = F.pmod("_h", F.lit(1 << 30)) / float(1 << 30)
+    picked = hashed.join(F.broadcast(counts), label).where(draw < per_class / F.col("_n"))
+    once = picked.groupBy(label, "_h").agg(*[F.first(c).alias(c) for c in df.columns if c != label])
+    order = Window.partitionBy(label).orderBy(draw, "_h")
+    return once.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= int(1.25 * per_class)).select(*df.columns)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, remainder: int) -> list:

@@ -158,6 +158,7 @@ def fit(docs: DataFrame, per_class: int, modulus: int = 3, remainder: int = 1) -
     got = C.sample_by_class(rows, "_y", per_class, "text").collect()
     if not got:
         return None
+    got.sort(key=lambda r: (r["text"] or "", r["_y"]))  # training depends on the order
     classes = sorted({r["_y"] for r in got})
     return train(C.texts_of(got), np.array([classes.index(r["_y"]) for r in got]), classes)
 

@@ -220,6 +220,16 @@ def test_sample_learns_every_class(spark):
     assert {r._y for r in got} == {y for _, y in rows}
 
 
+def test_copies_do_not_crowd_out_a_small_class(spark):
+    from collections import Counter
+
+    draws = spark.range(400).selectExpr("concat('hot ', id) AS t", "pmod(xxhash64(concat('hot ', id), 11), 1 << 30) AS d").orderBy("d").first()
+    rows = [(draws.t, "big")] * 1000 + [(f"text {i}", "big") for i in range(400)] + [(f"rare {i}", "small") for i in range(20)]
+    got = C.sample_by_class(spark.createDataFrame(rows, "text string, _y string"), "_y", 20, "text").collect()
+    n = Counter(r._y for r in got)
+    assert n["small"] == 20 and 0 < n["big"] <= 25 and len({tuple(r) for r in got}) == len(got)
+
+
 def test_folds_follow_crc32(spark):
     import zlib
 
