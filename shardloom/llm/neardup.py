@@ -37,6 +37,8 @@ from . import graph
 BITS = 32
 #: Neighbours in order that each vector is compared with, at least.
 WINDOW = 128
+#: Windows that a partition of the order holds, at least, so that few end at its boundary.
+WINDOWS = 32
 #: Vectors of a component that are compared at a time.
 BLOCK = 1024
 #: Vectors of a label that measure() takes bits from, those it takes them for, and passes it looks at.
@@ -49,7 +51,7 @@ def passes_for(largest: int, threshold: float, recall: float) -> int:
     """Passes after which a pair at the threshold was neighbours at least once, with probability `recall`."""
     agree = 1 - math.acos(threshold) / math.pi
     depth = max(0.0, math.log2(max(1, largest) / (WINDOW / 2)))
-    once = agree ** math.ceil(depth + 1)
+    once = agree ** math.ceil(depth + 1) * (1 - 1 / WINDOWS)  # a window may end with its partition
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
@@ -76,7 +78,7 @@ def measure(x: np.ndarray, size: int, threshold: float, recall: float, seed: int
         code = (x @ rng.normal(size=(x.shape[1], BITS)) > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])
         alike = BITS - np.frexp((code[of][:, None] ^ code[None, :]).astype(np.float64))[1]
         left = np.stack([((alike >= d) & other).sum(1) for d in range(BITS + 1)], 1) * (size / len(x)) < WINDOW / 2
-        once += agree[np.where(left.any(1), left.argmax(1), BITS + 1)] / PILOTS
+        once += agree[np.where(left.any(1), left.argmax(1), BITS + 1)] * (1 - 1 / WINDOWS) / PILOTS
     need = 4
     while need < ENDLESS and np.mean((1 - once) ** need) > 1 - recall:
         need = math.ceil(need * 1.25)
@@ -228,7 +230,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, recall: float = 0
     plan = plan.withColumn("whole", (F.col("need") > PASSES) & (F.col("size") <= F.col("need") * (BLOCK // 2)))
     planned = vectors.select("node", "part", "embedding").join(plan.withColumn("passes", F.greatest("need", F.lit(least_passes))), "part")
     projected = project(planned.where("not whole"))
-    n = max(4, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sent = planned.where("not whole").agg(F.sum("passes")).first()[0] or 0
+    n = max(1, min(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), sent // (WINDOWS * WINDOW)))
     # the node breaks ties, so that equal codes spread over partitions
     ordered = projected.repartitionByRange(n, "turn", "part", "code", "node").sortWithinPartitions("turn", "part", "code", "node")
     links = neighbours(ordered, threshold)

@@ -260,6 +260,24 @@ def test_embeddings_that_share_a_direction(spark):
     assert [got[i] for i in range(n)] == linked.tolist()
 
 
+def test_embeddings_over_many_partitions(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1::2] = 0.935 * x[::2] + 0.355 * x[1::2]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    linked = [int(sum(near[i, j] for j in range(500) if i != j and i // 50 == j // 50)) for i in range(500)]
+    table = spark.createDataFrame([(i, str(i // 50), v.tolist()) for i, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = {r.vec_id: r.n_links for r in neardup.near_duplicates(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(linked) > 100 and [got[i] for i in range(500)] == linked
+
+
 def test_forest_joins_what_the_links_join():
     rng = np.random.default_rng(6)
     for share in (0.02, 0.2, 0.9):
