@@ -42,12 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _drop_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone
             return
 
@@ -60,7 +63,23 @@ def materialize(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_drop_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._shardloom_path = path
+    return back
+
+
+def drop(*stored: DataFrame) -> None:
+    """Delete what materialize() wrote for these frames; nothing may read them, or frames made from them, any more."""
+    for df in stored:
+        _delete(df.sparkSession, df._shardloom_path)
+        _written.remove((df.sparkSession, df._shardloom_path))
+
+
+def replace(old: DataFrame, new: DataFrame) -> DataFrame:
+    """materialize(new), then drop(old)."""
+    stored = materialize(new)
+    drop(old)
+    return stored
 
 
 def release(spark: SparkSession) -> None:

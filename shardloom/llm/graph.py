@@ -18,13 +18,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     rank = lambda c: F.struct(F.xxhash64(c, F.lit(5)).alias("h"), F.col(c).alias("v"))
     rest = C.materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().select("node", F.col("node").alias("root"))
+    labels = C.materialize(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().select("node", F.col("node").alias("root")))
     while rest.limit(1).count():
         both = rest.union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
         hook = C.materialize(near.select(F.col("a").alias("v"), F.least("m", rank("a"))["v"].alias("to")))
-        labels = C.materialize(labels.join(hook, labels["root"] == hook["v"], "left").select("node", F.coalesce("to", "root").alias("root")))
+        labels = C.replace(labels, labels.join(hook, labels["root"] == hook["v"], "left").select("node", F.coalesce("to", "root").alias("root")))
         moved = rest.join(hook, rest["a"] == hook["v"]).select(F.col("to").alias("a"), "b")
         moved = moved.join(hook, moved["b"] == hook["v"]).select("a", F.col("to").alias("b")).where("a <> b")
-        rest = C.materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        rest = C.replace(rest, moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        C.drop(hook)
+    C.drop(rest)
     return labels

@@ -3,39 +3,50 @@
 A document's set holds the hashes of its distinct word n-grams. Sets of two
 documents that reach the threshold differ in at most H elements, H following
 from their sizes. Sizes fall into bands; for every band the universe of hashes
-is cut into segments, and a set's part of each segment is summed up in one
-number, its signature. With m segments:
+is cut into m segments, and a set's part of a segment is summed up in one
+number, its signature. A band uses one of two forms, by expected cost
+(`allocate`), which counts signatures written and sets kept for no reason:
 
-* whole signatures: m = H + 1 + 2 s. Differences spoil at most H segments; each
-  set leaves out the s segments of its own that say least (empty and nearly
-  empty ones, which unrelated sets share); at least one common signature is left.
+* whole signatures: m = H + 1 + spare. Differences spoil at most H segments, so
+  linked sets share all but H of their segments.
 * one-deletion neighbourhoods: m = ceil((H + 1) / 2). Some segment differs in at
   most one element, so one set's signature is the other's, or that of the other
   with one element deleted; sets emit both kinds.
 
-Which of the two a band uses, is decided by cost: signatures written plus
-chance partners expected from the band's number of sets (`allocate`).
+What follows never joins all members of a signature's group:
 
-Candidates first compare sketches: two sets' parity bits differ in no more cells
-than the sets do in elements, so a pair whose sketches differ in more than H
-cells cannot be linked. The rest are verified exactly, but never as all pairs of
-a group: each meets the smallest of its group first. What that leaves open - a
-group whose members are still in different components after a failed
-verification - is then compared pair by pair across components, so no link
-between components is lost. Links inside one component change nothing.
+1. *Shared signatures.* A signature that no other set holds cannot be one of
+   those that linked sets have in common. A set that is left with fewer shared
+   ones than any link needs, has no partner and is done (`survivors`). Most sets
+   end here, however common single passages of theirs are.
+2. *Leaders.* Each remaining set meets the smallest, then the largest one of its
+   groups. Candidates compare sketches (two sets' parity bits differ in no more
+   cells than the sets do in elements) and are verified exactly.
+3. *Allocation by set.* What is still in different components meets by the
+   signatures that the sets' own costs allow to choose: all signatures have one
+   order, rarest first; if at most H of two sets' segments differ, both hold a
+   common one among their first H + 1. Within a group, sets of its largest
+   component meet only sets of others, and only pairs whose sizes and 512-bit
+   sketches leave a link possible are written; they are verified exactly.
 
-n-grams and sets are known by 64-bit hashes; two sets count as the same with a
-chance of 2^-64 a pair.
+So no link between components is lost; links inside one change nothing.
+
+n-grams and sets are known by 64-bit hashes; two different sets count as the
+same with a chance of 2^-64 a pair. The last verification compares the upper 48
+bits of n-gram hashes.
 
 Defined results: null and wordless texts have the empty set and link with
 nothing (component_id is their own id); a text of fewer than n words has its
 whole sequence as one n-gram; a null id takes the smallest id of its component,
-if any; rows alike in all give rows alike. Other columns are ignored.
+if any; rows alike in all give rows alike; an empty table gives no rows. A very
+long text is one set of as many elements, never cut. Other columns are ignored,
+and `keep_one` carries them whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +55,17 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import graph
+from . import native as N
 
 RATIO = 1.4
-#: Bits of the filter that keeps sets without a partner out of the shuffle; false positives only cost time.
-FILTER_BITS = 25
-#: Chance that two unrelated sets hold the same n-gram where each holds one, for the cost of chance partners.
-SHARED = 2e-3
+#: Spare segments for each that may be spoiled, of which `allocate` takes the cheapest.
+SPARE = (0.2, 0.5, 1.0, 2.0)
+#: Chance that a given n-gram of a set stands in another, unrelated one; for the cost of chance partners only.
+SHARED = 1e-6
+#: Cost of a set kept for no reason, in signatures for each of its elements.
+KEPT = 4.0
+#: 64-bit words of the sketches that are compared inside the join.
+WORDS = 8
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -87,17 +103,17 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Runs over the chunks of a partition; a content seen before in the task can be passed over."""
+    """Runs over the chunks of a partition; tells which contents the task has not seen before."""
 
-    def __init__(self, n: int, once: bool):
-        self.n, self.once, self.seen = n, once, set()
+    def __init__(self, n: int):
+        self.n, self.seen = n, set()
 
     def of(self, batches):
         for batch in batches:
             for part, data, offsets in C.chunks(batch):
                 h, first = shingles(data, offsets, self.n)
                 key = set_keys(h, first)
-                yield part, h, first, key, self.fresh(key, first) if self.once else None
+                yield part, h, first, key, self.fresh(key, first)
 
     def fresh(self, key: np.ndarray, first: np.ndarray) -> np.ndarray:
         new = np.diff(first) > 0
@@ -133,17 +149,15 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch) for every row; node and sketch are null for the empty set."""
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
-
-    def run(batches):
-        for part, h, first, key, _ in Sets(n, False).of(batches):
-            size = np.diff(first)
-            marks = pa.array(sketches(h, first), pa.binary())
-            yield C.batch_of(kind, doc_id=part.column(0).cast(pa.int64()), n_shingles=size, node=pa.array(key, pa.int64(), mask=size == 0), sketch=marks)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+def parities(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The same in 64 * WORDS cells whatever the size: a list of columns of 64-bit numbers."""
+    size = np.diff(first)
+    cells = 64 * WORDS
+    doc = np.repeat(np.arange(len(size)), size)
+    cell = ((h * _ODD) >> np.uint64(30)).astype(np.int64) & (cells - 1)
+    bits = (np.bincount(doc * cells + cell, minlength=len(size) * cells) & 1).astype(bool)
+    words = np.packbits(bits, bitorder="little").view(np.int64).reshape(len(size), WORDS)
+    return list(words.T)
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -156,7 +170,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             cells = np.array([apart(a.as_py(), b.as_py()) for a, b in zip(batch.column(3), batch.column(5), strict=True)], np.int64)
             # elements they may differ in: sizes and differences are whole
-            most = (100 - percent) * (na + nb) // (100 + percent)
+            most = differing(na, nb, percent)
             ok = (cells <= most) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             yield C.batch_of(kind, a=batch.column(0).filter(pa.array(ok)), b=batch.column(1).filter(pa.array(ok)))
 
@@ -167,33 +181,66 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- signatures
 
 
+def differing(a, b, percent: int):
+    """Most elements in which linked sets of sizes a and b differ."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+def band_of(low: int) -> tuple[int, int]:
+    return low, max(low, int(low * RATIO))
+
+
 def bands(largest: int) -> list[tuple[int, int]]:
     out, low = [], 1
     while low <= largest:
-        high = max(low, int(low * RATIO))
-        out.append((low, high))
-        low = high + 1
+        out.append(band_of(low))
+        low = out[-1][1] + 1
     return out
 
 
-def allocate(low: int, high: int, sets: int, percent: int) -> tuple[int, int, bool]:
-    """(segments, segments a set leaves out, deletions) of least expected cost for the band."""
-    h = (100 - percent) * 2 * high // (100 + percent)
+def _reached(n: float, k: int, p: float) -> float:
+    """Bound on the chance that k or more of n independent events of chance p happen (Chernoff)."""
+    if k <= n * p:
+        return 1.0
+    if k > n or p <= 0:
+        return 0.0
+    q = k / n
+    rest = (1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0
+    return math.exp(-n * (q * math.log(q / p) + rest))
+
+
+def allocate(low: int, high: int, sets: int, percent: int) -> tuple[int, bool] | None:
+    """(segments, deletions) of least expected cost for the band; None if its sets link only when equal."""
+    h = differing(high, high, percent)
+    if not h:
+        return None
     mean = math.sqrt(low * high)
-    m1 = -(-(h + 1) // 2)
-    best = (m1 + mean + sets * m1 * math.exp(-0.9 * mean / m1) * SHARED, m1, 0, True)
-    for left_out in range(0, 2 + h // 4):
-        m = h + 1 + 2 * left_out
-        load = low / m
-        scarce = max(0.0, m * (1 + load) * math.exp(-load) - left_out)
-        pairs = m * load * load / 2 * math.exp(-load)
-        best = min(best, (m - left_out + sets * (scarce * SHARED + pairs * SHARED * SHARED), m, left_out, False))
+    chance = min(1.0, sets * SHARED)
+
+    def alone(load: float, j: int) -> float:  # a segment holds j elements, if any
+        return load**j * math.exp(-load) / math.factorial(j) / (1 - math.exp(-load))
+
+    m = -(-(h + 1) // 2)
+    written = m + mean
+    load = mean / m
+    p = chance * (alone(load, 1) * m + 2 * alone(load, 2) * m) / written
+    best = (written * (1 + p) + KEPT * mean * _reached(written, 1, p), m, True)
+    for spare in SPARE:
+        m = h + 1 + 2 + int(spare * h)
+        load = mean / m
+        written = m * (1 - math.exp(-load))
+        p = chance * alone(load, 1)
+        best = min(best, (written * (1 + p) + KEPT * mean * _reached(written, max(1, int(written) - h), p), m, False))
     return best[1:]
 
 
-def emit(h: np.ndarray, first: np.ndarray, rows: np.ndarray, key: np.ndarray, band: int, plan: tuple[int, int, bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures for the band of the sets `rows`, and their sets' keys."""
-    m, left_out, deletions = plan
+def emit(h: np.ndarray, first: np.ndarray, rows: np.ndarray, band: int, plan: tuple[int, bool], most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures for the band of the sets `rows`: signatures, index of each row's first, and how many shared ones a link needs.
+
+    `most`: elements in which each may differ from a partner. The upper six bits
+    of a signature are its band.
+    """
+    m, deletions = plan
     size = first[rows + 1] - first[rows]
     own = np.repeat(np.arange(len(rows)), size)
     at = np.arange(int(size.sum())) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size) + first[rows][own]
@@ -204,94 +251,128 @@ def emit(h: np.ndarray, first: np.ndarray, rows: np.ndarray, key: np.ndarray, ba
     begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
     which = cell[begin]
     total = np.add.reduceat(value, begin) if len(begin) else np.zeros(0, np.uint64)
-    fill = np.diff(np.concatenate([begin, [len(cell)]]))
-    spot = lambda c: (c % m).astype(np.uint64) + np.uint64(band << 32) + np.uint64(1)
-    sign = lambda s, c: C.mix(s + spot(c) * _ODD)
+    spot = lambda c: (c % m).astype(np.uint64) + np.uint64(1)
+    sign = lambda s, c: C.mix(s + spot(c) * _ODD) >> np.uint64(6) | np.uint64(band << 58)
     owner = which // m
     full = np.bincount(owner, minlength=len(rows))
-    empty = m - full
-    keep = np.ones(len(which), bool)
-    if left_out:
-        # of each set's segments the scarcest are left out, empty ones first
-        rank = np.lexsort((which, fill, owner))
-        place = np.empty(len(which), np.int64)
-        place[rank] = np.arange(len(which)) - np.concatenate([[0], np.cumsum(full)])[owner[rank]]
-        keep = place + empty[owner] >= left_out
-    sig, node = [sign(total[keep], which[keep])], [owner[keep]]
-    over = np.flatnonzero(empty > left_out)
-    if len(over):  # empty segments beyond those left out
-        filled = np.zeros((len(over), m), bool)
-        place_of = np.full(len(rows), -1)
-        place_of[over] = np.arange(len(over))
-        inside = place_of[owner] >= 0
-        filled[place_of[owner[inside]], which[inside] % m] = True
-        r, c = np.nonzero(~filled)
-        nth = np.arange(len(r)) - np.searchsorted(r, r)
-        r, c = r[nth >= left_out], c[nth >= left_out]
-        cells = over[r] * m + c
-        sig.append(sign(np.zeros(len(cells), np.uint64), cells))
-        node.append(over[r])
+    sig, of = [sign(total, which)], [owner]
     if deletions:
-        seg = np.repeat(np.arange(len(begin)), fill)
-        sig.append(sign(total[seg] - value, cell))
-        node.append(cell // m)
-    return np.concatenate(sig).view(np.int64), key[rows][np.concatenate(node)]
-
-
-def signatures(docs: DataFrame, n: int, percent: int, plans: list[tuple[int, int, tuple[int, int, bool]]], only=None) -> DataFrame:
-    """(sig, node) of all sets, or of those whose keys pass the filter `only`."""
-    kind = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
+        fill = np.diff(np.append(begin, len(cell)))
+        sig.append(sign(np.repeat(total, fill) - value, cell))
+        of.append(cell // m)
+        need = np.ones(len(rows), np.int64)
+    else:
+        need = np.maximum(1, full - most)
+        # sets with no more filled segments than may be spoiled could have only empty ones in common with their like
+        for r in np.flatnonzero(full <= most).tolist():
+            c = r * m + np.setdiff1d(np.arange(m), which[owner == r] % m)
+            sig.append(sign(np.full(len(c), 0x9E3779B9, np.uint64), c))
+            of.append(np.full(len(c), r))
+    sig, of = np.concatenate(sig), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return sig[order].view(np.int64), np.searchsorted(of[order], np.arange(len(rows) + 1)), need
+
+
+def signed(docs: DataFrame, n: int, percent: int, total: int) -> DataFrame:
+    """Rows `own` for every row of `docs` (doc_id, body, n_shingles, node; null node: the empty set), with the
+    signatures for its band unless the task has seen the set; and further rows for larger bands that may hold partners."""
+    names = ("own", "doc_id", "body", "n_shingles", "node", "band", "need", "sigs")
+    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+    kind = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(batches):
-        bits = only.value if only else None
-        for _, h, first, key, fresh in Sets(n, True).of(batches):
-            if bits is not None:
-                fresh &= passes(bits, key)
+        edges: list[tuple[int, int]] = []
+        plans: list = []
+        for part, h, first, key, fresh in Sets(n).of(batches):
             size = np.diff(first)
-            for band, (low, high, plan) in enumerate(plans):
+            while len(size) and (not edges or edges[-1][1] * percent < size.max() * 100):
+                edges.append(band_of(edges[-1][1] + 1 if edges else 1))
+                plans.append(allocate(*edges[-1], total, percent))
+            none = np.zeros(0, np.int64)
+            done = np.zeros(len(size), bool)
+            ids, body = part.column(0).cast(pa.int64()), part.column(1)
+
+            def rows_of(own, at, band, need, sigs, begin):
+                lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(sigs, pa.int64())) if band is not None else pa.nulls(len(at), kinds[-1])
+                null = lambda v, t: pa.nulls(len(at), t) if v is None else pa.array(v, t)
+                of = pa.array(at)
+                return C.batch_of(kind, own=np.full(len(at), own), doc_id=ids.take(of), body=body.take(of), n_shingles=size[at], node=pa.array(key[at], pa.int64(), mask=size[at] == 0), band=null(None if band is None else np.full(len(at), band), kinds[5]), need=null(need, kinds[6]), sigs=lists)
+
+            for band, ((low, high), plan) in enumerate(zip(edges, plans, strict=True)):
+                if plan is None:
+                    continue
                 # a set also goes to larger bands that may hold a partner
                 rows = np.flatnonzero(fresh & (size <= high) & (size * 100 >= low * percent))
-                if len(rows):
-                    sig, node = emit(h, first, rows, key, band, plan)
-                    for i in range(0, len(sig), 100_000):
-                        yield C.batch_of(kind, sig=sig[i : i + 100_000], node=node[i : i + 100_000])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, node long")
-
-
-# ---------------------------------------------------------------- filter and verification
-
-
-def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-    return (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-
-
-def filter_of(nodes: DataFrame, column: str = "node"):
-    """A broadcast bit table of node keys: 2^FILTER_BITS bits, whatever the number of nodes."""
-    at = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS)
-    words = nodes.select(F.shiftright(at, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at.bitwiseAND(F.lit(31))).cast("int")).alias("bit"))
-    got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2^FILTER_BITS / 32 rows
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    return nodes.sparkSession.sparkContext.broadcast(bits)
-
-
-def verify(docs: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """`pairs` (a, b), stored, with `linked`."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    only = filter_of(nodes)
-    kind = pa.schema([("node", pa.int64()), ("members", pa.binary())])
-    # the upper six bytes of each hash: two elements of a pair of sets coincide with a chance of 2^-48
+                if not len(rows):
+                    continue
+                largest = np.minimum(high, size[rows] * 100 // percent)
+                sigs, begin, need = emit(h, first, rows, band, plan, differing(size[rows], largest, percent))
+                inside = size[rows] >= low
+                for own in (True, False):
+                    pick = np.flatnonzero(inside == own)
+                    if len(pick):
+                        width = np.diff(begin)[pick]
+                        take = np.arange(int(width.sum())) - np.repeat(np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.repeat(begin[pick], width)
+                        yield rows_of(own, rows[pick], band, need[pick], sigs[take], np.concatenate([[0], np.cumsum(width)]))
+                done[rows[inside]] = True
+            if not done.all():
+                yield rows_of(True, np.flatnonzero(~done), None, None, none, none)
+
+    columns = "own boolean, doc_id long, body long, n_shingles long, node long, band int, need int, sigs array<long>"
+    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, columns)
+
+
+def survivors(made: DataFrame) -> DataFrame:
+    """(sig, node, band, keep): shared signatures of the sets that hold as many as a link needs.
+
+    `keep`: of a set's shared signatures, rarest first, so many contain one that
+    a linked set has in common among its own (those not shared come before).
+    """
+    entries = made.where("sigs is not null").select("node", F.explode("sigs").alias("sig"))
+    shared = entries.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    shared = C.materialize(shared.select("sig"))
+    C.release(made.sparkSession)
+    # each side has a shuffle of its own, so a hot signature's partition can be split
+    found = C.materialize(entries.join(shared, "sig"))
+    C.release(made.sparkSession)
+    found = C.replace(found, found.distinct().select("sig", "node", F.shiftrightunsigned("sig", 58).cast("int").alias("band")))
+    C.drop(shared)
+    held = found.groupBy("node", "band").agg(F.count("*").alias("held"))
+    needs = made.where("sigs is not null").groupBy("node", "band").agg(F.max("need").alias("need"))
+    alive = C.materialize(held.join(needs, ["node", "band"]).where("held >= need").select("node", "band", (F.col("held") - F.col("need") + 1).alias("keep")))
+    return C.replace(found, found.join(alive, ["node", "band"]).select("sig", "node", "band", "keep"))
+
+
+# ---------------------------------------------------------------- verification
+
+
+def members(docs: DataFrame, made: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, n_shingles, elements, sketch, k0 ..) for each of `nodes`, made from one text each."""
+    some = made.where("own and node is not null").join(nodes, "node", "left_semi")
+    one = some.groupBy("node").agg(F.min(F.struct("body", F.coalesce(F.col("doc_id"), F.lit(0)).alias("i"))).alias("m"))
+    one = C.materialize(one.select(F.col("m.body").alias("body"), F.col("m.i").alias("i")).distinct())
+    texts = docs.select(F.xxhash64("text").alias("body"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"), "text")
+    marks = [f"k{i}" for i in range(WORDS)]
+    kind = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("elements", pa.binary()), ("sketch", pa.binary()), *[(k, pa.int64()) for k in marks]])
+    # elements: the upper six bytes of each hash; two of a pair of sets coincide with a chance of 2^-48
 
     def run(batches):
-        for _, h, first, key, fresh in Sets(n, True).of(batches):
-            rows = np.flatnonzero(fresh & passes(only.value, key))
+        for _, h, first, key, fresh in Sets(n).of(batches):
+            rows = np.flatnonzero(fresh)
             if len(rows):
-                yield C.batch_of(kind, node=key[rows], members=[h[first[i] : first[i + 1]].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for i in rows])
+                each = sketches(h, first)
+                words = dict(zip(marks, (w[rows] for w in parities(h, first)), strict=True))
+                elements = [h[first[i] : first[i + 1]].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for i in rows]
+                yield C.batch_of(kind, node=key[rows], n_shingles=np.diff(first)[rows], elements=elements, sketch=[each[i] for i in rows], **words)
+
+    columns = "node long, n_shingles long, elements binary, sketch binary, " + ", ".join(f"{k} long" for k in marks)
+    got = N.join_small(texts, one, ["body", "i"], "left_semi").select("text").mapInArrow(run, columns)
+    # rows alike in id and text may lie in several tasks
+    return C.materialize(got.groupBy("node").agg(*[F.first(c).alias(c) for c in got.columns[1:]]))
 
-    # read by both joins: written once rather than made twice
-    sets = C.materialize(docs.select("doc_id", "text").mapInArrow(run, "node long, members binary"))
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`pairs` (a, b) with `linked`, stored."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
     def compare(batches):
@@ -307,66 +388,61 @@ def verify(docs: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame
                 linked[i] = 100 * common >= percent * (len(both) - common)
             yield C.batch_of(out, a=batch.column(0), b=batch.column(1), linked=linked)
 
-    # copies in other tasks may have left a set more than once; the answers are the same
-    left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(compare, "a long, b long, linked boolean").distinct()
-
-
-def component_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs`."""
-    sets = C.materialize(document_sets(docs, n))
-    sizes = sets.where("node is not null").groupBy("n_shingles").agg(F.approx_count_distinct("node").alias("c"))
-    edges = bands(int(sizes.agg(F.max("n_shingles")).first()[0] or 0))
-    band = F.lit(0)
-    for i, (low, _) in enumerate(edges):
-        band = F.when(F.col("n_shingles") >= low, i).otherwise(band)
-    held = {r["band"]: r["c"] for r in sizes.groupBy(band.alias("band")).agg(F.sum("c").alias("c")).collect()} if edges else {}  # a row a band
-    plans = [(low, high, allocate(low, high, held.get(i, 0), percent)) for i, (low, high) in enumerate(edges)]
-
-    nodes = C.materialize(sets.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-
-    # every set meets the smallest one of each of its groups
-    led = signatures(docs, n, percent, plans).select("node", F.min("node").over(_by("sig")).alias("leader")).where("node <> leader")
-    led = C.materialize(led.groupBy("node", "leader").agg(F.count("*").alias("n")))
-    C.release(docs.sparkSession)
-    pairs = led.select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    likely = C.materialize(alike(pairs, nodes, percent))
-    # the one it shares most with first; then others, where they could still join components
-    best = likely.join(led.select(F.col("node").alias("a"), F.col("leader").alias("b"), "n"), ["a", "b"]).groupBy("a").agg(F.max(F.struct("n", "b")).alias("m"))
-    tried = C.materialize(verify(docs, n, percent, C.materialize(best.select("a", F.col("m.b").alias("b")))))
-    C.release(docs.sparkSession)
-    roots = graph.components(tried.where("linked"))
-    rest = C.materialize(_across(likely.join(tried, ["a", "b"], "left_anti"), roots))
-    if rest.limit(1).count():
-        tried = C.materialize(tried.union(verify(docs, n, percent, rest)))
+    return C.materialize(rows.mapInArrow(compare, "a long, b long, linked boolean"))
+
+
+# ---------------------------------------------------------------- the join
+
+
+def chosen_pairs(held: DataFrame, groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of different components that share a signature both have chosen, and may be linked by size and sketch."""
+    order = Window.partitionBy("node", "band").orderBy("c", "sig")  # one set's signatures
+    ranked = held.join(groups.select("sig", "c"), "sig").withColumn("nth", F.row_number().over(order))
+    chosen = ranked.where("nth <= keep and c > 1").select("sig", "node").join(roots, "node", "left")
+    chosen = C.materialize(chosen.select("sig", "node", F.coalesce("root", "node").alias("root")))
+    by_root = chosen.groupBy("sig", "root").count().groupBy("sig").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("roots"))
+    open_ = C.materialize(by_root.where("roots > 1").select("sig", F.col("m.root").alias("most")))
+    marks = [f"k{i}" for i in range(WORDS)]
+    rows = chosen.join(open_, "sig").join(sets.select("node", F.col("n_shingles").alias("n"), *marks), "node")
+    rows = C.replace(chosen, rows)
+    # of two components in a group one is not its largest: that one's sets come from the left
+    left = rows.where("root <> most").select("sig", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", *marks)])
+    right = rows.select("sig", "most", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", *marks)])
+    cells = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in marks])
+    may = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (cells * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    met = left.join(right, (left["sig"] == right["sig"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most")) | (F.col("node_a") < F.col("node_b"))) & may)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def rooted(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, body, n_shingles, root) for every row of `docs`, stored; root: the component, null for empty sets."""
+    made = C.materialize(signed(docs, n, percent, docs.count()))
+    held = survivors(made)
+    groups = C.materialize(held.groupBy("sig").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("last")).where("c > 1"))
+    sets = members(docs, made, held.select("node").distinct(), n)
+    none = docs.sparkSession.createDataFrame([], "a long, b long, linked boolean")
+    tried, roots = none, none.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    for leader in ("least", "last"):
+        met = held.join(groups.select("sig", F.col(leader).alias("b")), "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").count()
+        likely = C.materialize(alike(_across(met.select("a", "b"), roots), sets, percent))
+        # the one it shares most with first; then others, where they could still join components
+        best = likely.join(met, ["a", "b"]).groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        tried = tried.union(verify(best, sets, percent))
         roots = graph.components(tried.where("linked"))
-    # groups whose sets are still in different components: across those, pair by pair
-    apart = C.materialize(_across(pairs, roots))
-    if apart.limit(1).count():
-        leaders = apart.select(F.col("b").alias("leader")).distinct()
-        members = led.join(leaders, "leader", "left_semi").select("node").union(leaders).distinct()
-        members = C.materialize(members.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-        again = signatures(docs, n, percent, plans, filter_of(members)).join(members, "node").groupBy("sig", "node", "root").count()
-        # a group of two is its leader and the one that met it
-        w = Window.partitionBy("sig")
-        again = C.materialize(again.select("sig", "node", "root", F.count("*").over(w).alias("size"), F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi")).where("size > 2 and lo <> hi"))
-        C.release(docs.sparkSession)
-        one, two = again.select("sig", F.col("node").alias("a"), F.col("root").alias("ra")), again.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-        open_ = one.join(two, "sig").where("ra <> rb and a < b").select("a", "b").distinct()
-        known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        open_ = C.materialize(alike(open_.join(known, ["a", "b"], "left_anti"), nodes, percent))
-        if open_.limit(1).count():
-            tried = tried.union(verify(docs, n, percent, open_))
-            roots = graph.components(tried.where("linked"))
-
-    rows = sets.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-
-
-def _by(column: str):
-    return Window.partitionBy(column).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rest = C.materialize(_across(likely, roots).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        tried = tried.union(verify(rest, sets, percent))
+        roots = graph.components(tried.where("linked"))
+    met = chosen_pairs(held, groups, roots, sets, percent)
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = C.materialize(alike(met.join(known, ["a", "b"], "left_anti"), sets, percent))
+    tried = tried.union(verify(open_, sets, percent))
+    roots = graph.components(tried.where("linked"))
+    rows = made.where("own").select("doc_id", "body", "n_shingles", "node").join(roots, "node", "left")
+    rows = C.materialize(rows.select("doc_id", "body", "n_shingles", F.coalesce("root", "node").alias("root")))
+    C.drop(made, held, groups, sets)
+    return rows
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -376,16 +452,29 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return got.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").distinct()
 
 
+def component_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs`."""
+    rows = rooted(docs, n, percent)
+    least = C.materialize(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")))
+    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, all columns, but one document of each component: its smallest id.
+    """The rows of `docs`, all columns, but one row of each component: that of the smallest id (null ids last, then by text).
 
-    Of rows that share that id one stays; rows with a null id stay.
+    Rows without words stay. Of rows alike in id and text, one stays.
     """
-    table = C.materialize(component_table(docs, n, percent))
-    kept = table.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("_again"))
-    stay = docs.join(kept, "doc_id")
-    once = stay.where("not _again").unionByName(stay.where("_again").dropDuplicates(["doc_id"]))
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = rooted(docs, n, percent).where("root is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body"))
+    stays = C.materialize(rows.groupBy("root").agg(first.alias("m"), F.count("*").alias("n")).where("n > 1"))
+    same = rows["doc_id"].eqNullSafe(F.col("m.doc_id")) & (rows["body"] == F.col("m.body"))
+    marked = C.materialize(rows.join(stays, "root").groupBy("doc_id", "body").agg(F.max(same).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("b"))
+    at = lambda m: F.col("i").eqNullSafe(m["doc_id"]) & (F.col("b") == m["body"])
+    rest = whole.join(marked, at(marked), "left_anti")
+    again = marked.where("stays")
+    once = whole.join(again, at(again), "left_semi").groupBy("i", "b").agg(F.first("row").alias("row"))
+    return rest.select("row.*").unionByName(once.select("row.*"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,31 +175,60 @@ def test_jaccard(spark, n, percent):
 
 def test_jaccard_keeps_one(spark):
     long = " ".join(f"w{i}" for i in range(100))
-    rows = [(5, long), (3, long), (3, long), (9, "a b c d e f"), (None, long), (None, None), (10, None), (11, ""), (9, "q r s t u v")]
-    docs = frame(spark, rows)
+    rows = [(5, long), (3, long), (3, long), (9, "a b c d e f"), (None, long), (None, None), (10, None), (11, ""), (9, "q r s t u v"), (12, "g h i j k l"), (9, long + " more"), (None, "u1 u2 u3 u4"), (None, "u1 u2 u3 u4")]
+    docs = frame(spark, rows).withColumns({"b": F.lit(1), "m": F.lit(2), "row": F.lit(3), "node": F.lit(4), "root": F.lit(5), "_again": F.lit(6), "i": F.lit(7)})
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "9", "None", "None", "10", "11"])
+    want = [(3, long), (9, "a b c d e f"), (9, "q r s t u v"), (12, "g h i j k l"), (None, None), (10, None), (11, ""), (None, "u1 u2 u3 u4")]
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, want))
     assert jaccard.keep_one(docs.limit(0)).count() == 0
 
 
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(4)
     for percent in (80, 85):
-        for low, high in jaccard.bands(900):
-            for plan in {jaccard.allocate(low, high, sets, percent) for sets in (1, 1000, 10**7)} | {(-(-((100 - percent) * 2 * high // (100 + percent) + 1) // 2), 0, True)}:
+        for band, (low, high) in enumerate(jaccard.bands(900)):
+            most = jaccard.differing(high, high, percent)
+            plans = {jaccard.allocate(low, high, sets, percent) for sets in (1, 1000, 10**7, 10**11)} | ({(-(-(most + 1) // 2), True), (most + 1, False)} if most else set())
+            for plan in plans - {None}:
                 for _ in range(6):
                     size = int(rng.integers(low, high + 1))
                     a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-                    most = (100 - percent) * len(a) // 100
-                    drop = int(rng.integers(0, most + 1))
+                    drop = int(rng.integers(0, (100 - percent) * len(a) // 100 + 1))
                     b = a[rng.permutation(len(a))[: len(a) - drop]]
                     while len(b) < high and 100 * len(np.intersect1d(a, b)) >= percent * (len(np.union1d(a, b)) + 1):
                         b = np.append(b, rng.integers(0, 2**63, dtype=np.uint64))
                     b = np.sort(b)
+                    if len(a) == len(b) and (a == b).all():
+                        continue
                     h, first = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
-                    sig, node = jaccard.emit(h, first, np.array([0, 1]), np.array([1, 2]), 0, plan)
-                    assert set(sig[node == 1]) & set(sig[node == 2]), (low, high, plan, len(a), len(b))
+                    largest = np.minimum(high, np.diff(first) * 100 // percent)
+                    sig, begin, need = jaccard.emit(h, first, np.array([0, 1]), band, plan, jaccard.differing(np.diff(first), largest, percent))
+                    one, two = set(sig[: begin[1]].tolist()), set(sig[begin[1] :].tolist())
+                    both = one & two
+                    assert len(both) >= need.max(), (low, high, plan, len(a), len(b))
+                    # whatever the order, what each chooses has one in common
+                    order = {s: i for i, s in enumerate(rng.permutation(sorted(one | two)).tolist())}
+                    pick = lambda own, k: set(sorted(own, key=order.get)[: len(own) - int(k) + 1])
+                    assert pick(one, need[0]) & pick(two, need[1])
+                    assert {s >> 58 & 63 for s in both} == {band}
+
+
+def test_jaccard_in_groups_that_share_most_words(spark):
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(160):  # one group of copies with zero to eight edits
+        w = list(base)
+        for k in rng.choice(120, int(rng.integers(0, 9)), replace=False):
+            w[k] = f"e{rng.integers(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base[:60] + [f"own{i}x{k}" for k in range(50)])) for i in range(60)]
+    rows += [(2000 + i, f"x{i % 7} " + "same " * int(rng.integers(4, 300))) for i in range(40)]
+    for n, percent in ((4, 85), (5, 80)):
+        got = jaccard.component_table(frame(spark, rows), n, percent)
+        assert sorted(str(tuple(r)) for r in got.collect()) == set_components(rows, n, percent)
+    assert jaccard.component_table(frame(spark, rows).limit(0), 4, 85).count() == 0
 
 
 # ---------------------------------------------------------------- embeddings
