@@ -19,8 +19,8 @@ What follows never joins all members of a signature's group:
    those that linked sets have in common. A set that is left with fewer shared
    ones than any link needs, has no partner and is done (`survivors`). Most sets
    end here, however common single passages of theirs are.
-2. *Leaders.* Each remaining set meets the smallest, then the largest one of its
-   groups. Candidates compare sketches (two sets' parity bits differ in no more
+2. *Leaders.* Each remaining set meets the one of each of its groups that has most
+   to spare, which in a group of near copies is about its middle. Candidates compare sketches (two sets' parity bits differ in no more
    cells than the sets do in elements) and are verified exactly.
 3. *Allocation by set.* What is still in different components meets by the
    signatures that the sets' own costs allow to choose: all signatures have one
@@ -348,9 +348,9 @@ def survivors(made: DataFrame) -> DataFrame:
 
 def members(docs: DataFrame, made: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, n_shingles, elements, sketch, k0 ..) for each of `nodes`, made from one text each."""
-    some = made.where("own and node is not null").join(nodes, "node", "left_semi")
-    one = some.groupBy("node").agg(F.min(F.struct("body", F.coalesce(F.col("doc_id"), F.lit(0)).alias("i"))).alias("m"))
-    one = C.materialize(one.select(F.col("m.body").alias("body"), F.col("m.i").alias("i")).distinct())
+    every = made.where("own and node is not null").groupBy("node").agg(F.min(F.struct("body", F.coalesce(F.col("doc_id"), F.lit(0)).alias("i"))).alias("m"))
+    one = every.join(nodes, "node", "left_semi").select(F.col("m.body").alias("body"), F.col("m.i").alias("i"))
+    one = C.materialize(one.distinct())
     texts = docs.select(F.xxhash64("text").alias("body"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"), "text")
     marks = [f"k{i}" for i in range(WORDS)]
     kind = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("elements", pa.binary()), ("sketch", pa.binary()), *[(k, pa.int64()) for k in marks]])
@@ -396,6 +396,32 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
+def partner_sizes(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, up_to), stored, of those of `sets` that may link within `sets`; up_to: the largest size a partner can have.
+
+    A set has only those of its elements in common with a partner that some
+    other of `sets` holds too, and the larger the partner, the more it takes.
+    """
+    kind = pa.schema([("node", pa.int64()), ("element", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for node, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                wide = np.zeros((len(held.as_buffer()) // 6, 8), np.uint8)
+                wide[:, 2:] = np.frombuffer(held.as_buffer(), np.uint8).reshape(-1, 6)
+                yield C.batch_of(kind, node=np.full(len(wide), node), element=wide.reshape(-1).view(np.int64))
+
+    own = sets.select("node", "elements").mapInArrow(run, "node long, element long")
+    shared = own.groupBy("element").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    shared = C.materialize(shared.select("element"))
+    held = own.join(shared, "element").groupBy("node").agg(F.count("*").alias("held"))
+    up_to = F.least(F.expr(f"n * 100 div {percent}"), F.expr(f"held * {100 + percent} div {percent}") - F.col("n"))
+    sizes = sets.select("node", F.col("n_shingles").alias("n")).join(held, "node").withColumn("up_to", up_to)
+    sizes = C.materialize(sizes.where(F.col("up_to") * 100 >= F.col("n") * percent).select("node", "n", "up_to"))
+    C.drop(shared)
+    return sizes
+
+
 def chosen_pairs(held: DataFrame, groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: pairs of different components that share a signature both have chosen, and may be linked by size and sketch."""
     order = Window.partitionBy("node", "band").orderBy("c", "sig")  # one set's signatures
@@ -405,13 +431,14 @@ def chosen_pairs(held: DataFrame, groups: DataFrame, roots: DataFrame, sets: Dat
     by_root = chosen.groupBy("sig", "root").count().groupBy("sig").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("roots"))
     open_ = C.materialize(by_root.where("roots > 1").select("sig", F.col("m.root").alias("most")))
     marks = [f"k{i}" for i in range(WORDS)]
-    rows = chosen.join(open_, "sig").join(sets.select("node", F.col("n_shingles").alias("n"), *marks), "node")
-    rows = C.replace(chosen, rows)
+    rows = C.replace(chosen, chosen.join(open_, "sig"))
+    sizes = partner_sizes(sets.join(rows.select("node").distinct(), "node", "left_semi"), percent)
+    rows = C.replace(rows, rows.join(sizes, "node").join(sets.select("node", *marks), "node"))
     # of two components in a group one is not its largest: that one's sets come from the left
-    left = rows.where("root <> most").select("sig", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", *marks)])
-    right = rows.select("sig", "most", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", *marks)])
+    left = rows.where("root <> most").select("sig", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "up_to", *marks)])
+    right = rows.select("sig", "most", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "up_to", *marks)])
     cells = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in marks])
-    may = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (cells * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    may = (F.col("n_b") <= F.col("up_to_a")) & (F.col("n_a") <= F.col("up_to_b")) & (cells * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     met = left.join(right, (left["sig"] == right["sig"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most")) | (F.col("node_a") < F.col("node_b"))) & may)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
@@ -420,25 +447,29 @@ def rooted(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, body, n_shingles, root) for every row of `docs`, stored; root: the component, null for empty sets."""
     made = C.materialize(signed(docs, n, percent, docs.count()))
     held = survivors(made)
-    groups = C.materialize(held.groupBy("sig").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("last")).where("c > 1"))
+    groups = C.materialize(held.groupBy("sig").agg(F.count("*").alias("c"), F.max(F.struct("keep", "node"))["node"].alias("leader")).where("c > 1"))
     sets = members(docs, made, held.select("node").distinct(), n)
     none = docs.sparkSession.createDataFrame([], "a long, b long, linked boolean")
-    tried, roots = none, none.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    for leader in ("least", "last"):
-        met = held.join(groups.select("sig", F.col(leader).alias("b")), "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").count()
-        likely = C.materialize(alike(_across(met.select("a", "b"), roots), sets, percent))
-        # the one it shares most with first; then others, where they could still join components
-        best = likely.join(met, ["a", "b"]).groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        tried = tried.union(verify(best, sets, percent))
-        roots = graph.components(tried.where("linked"))
-        rest = C.materialize(_across(likely, roots).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        tried = tried.union(verify(rest, sets, percent))
-        roots = graph.components(tried.where("linked"))
+    tried, roots = none, none.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+    def look(tried, roots, pairs):
+        if pairs.isEmpty():
+            return tried, roots
+        found = verify(pairs, sets, percent)
+        tried = tried.union(found)
+        return tried, roots if found.where("linked").isEmpty() else graph.components(tried.where("linked"))
+
+    met = held.join(groups.select("sig", F.col("leader").alias("b")), "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").count()
+    met = C.materialize(met)
+    likely = C.materialize(alike(met, sets, percent))
+    # the one it shares most with first; then others, where they could still join components
+    best = likely.join(met, ["a", "b"]).groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    tried, roots = look(tried, roots, C.materialize(best))
+    tried, roots = look(tried, roots, C.materialize(_across(likely, roots).join(tried.select("a", "b"), ["a", "b"], "left_anti")))
+    C.drop(met)
     met = chosen_pairs(held, groups, roots, sets, percent)
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    open_ = C.materialize(alike(met.join(known, ["a", "b"], "left_anti"), sets, percent))
-    tried = tried.union(verify(open_, sets, percent))
-    roots = graph.components(tried.where("linked"))
+    tried, roots = look(tried, roots, C.materialize(alike(met.join(known, ["a", "b"], "left_anti"), sets, percent)))
     rows = made.where("own").select("doc_id", "body", "n_shingles", "node").join(roots, "node", "left")
     rows = C.materialize(rows.select("doc_id", "body", "n_shingles", F.coalesce("root", "node").alias("root")))
     C.drop(made, held, groups, sets)
