@@ -13,7 +13,9 @@ constants of this module, so the broadcast side is bounded.
 
 Defined results: a null or wordless text has n_words 0, no places and score 0;
 identical rows get identical rows back; documents of one id but other texts are
-told apart. Other columns are ignored.
+told apart; a very long text is looked at whole, in time that grows with its
+words and the places found. An empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -51,8 +53,8 @@ NOTICES = {
 
 def templates(spark: SparkSession, texts: dict[str, str], k: int, share: float) -> DataFrame:
     """(t, label, tw, k, need): number, label, words, gram length and least share of grams to find."""
-    rows = [(i, label, text.split(), k, share) for i, (text, label) in enumerate(texts.items())]
-    return spark.createDataFrame(rows, "t int, label string, tw array<string>, k int, need double")
+    rows = [F.struct(F.lit(i).alias("t"), F.lit(label).alias("label"), F.array(*map(F.lit, text.split())).alias("tw")) for i, (text, label) in enumerate(texts.items())]
+    return spark.range(1).select(F.inline(F.array(*rows))).withColumns({"k": F.lit(k), "need": F.lit(share)})
 
 
 def _votes(hashed: DataFrame, key: list[str], plans: DataFrame, k: int) -> DataFrame:
@@ -91,19 +93,24 @@ def scan(docs: DataFrame, phrases: DataFrame, notices: DataFrame) -> DataFrame:
     near = spans(docs, phrases, 2, 0).join(F.broadcast(phrases), "t").where(F.col("found") == full)
     far = spans(docs, notices, 4, 3).join(F.broadcast(notices), "t").where(F.col("found") >= F.col("need") * full)
     columns = [*key, "label", "tw", "k", "start", "end", "found"]
-    # an exact look at the words of the documents with spans
+    # an exact look at the words of the documents with spans: each text is split once, whatever the number of its spans
     # distinct: of rows that are alike each gave the span
     some = near.select(*columns).unionByName(far.select(*columns)).distinct()
+    some = C.materialize(some.groupBy(*key).agg(F.collect_list(F.struct("label", "tw", "k", "start", "end")).alias("spans")))
     texts = docs.select("doc_id", F.xxhash64("text").alias("body"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), "text").withColumnsRenamed({"doc_id": "_d", "body": "_b", "size": "_s"})
-    some = C.materialize(some)
-    marked = some.select(*key).distinct()
+    marked = some.select(*key)
     texts = texts.join(marked, texts["_d"].eqNullSafe(marked["doc_id"]) & (F.col("_b") == marked["body"]) & (F.col("_s") == marked["size"]), "left_semi").dropDuplicates(["_d", "_b", "_s"])
-    joined = some.join(texts, some["doc_id"].eqNullSafe(texts["_d"]) & (some["body"] == F.col("_b")) & (some["size"] == F.col("_s"))).select(*columns, "text")
+    joined = some.join(texts, some["doc_id"].eqNullSafe(texts["_d"]) & (some["body"] == F.col("_b")) & (some["size"] == F.col("_s"))).select(*key, "spans", "text")
     joined = N.fence(joined, "w", N.words(F.col("text"))).drop("text")
-    span = F.slice("w", F.col("start") + 1, F.col("end") - F.col("start"))
+
+    def share_of(s):
+        span = F.slice("w", s["start"] + 1, s["end"] - s["start"])
+        part = F.size(F.array_intersect(span, s["tw"])) / F.size(F.array_distinct(s["tw"]))
+        return F.struct(s["label"].alias("label"), s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), F.when(s["k"] == 2, (span == s["tw"]).cast("double")).otherwise(part).alias("share"))
+
+    judged = joined.select(*key, F.explode(F.transform("spans", share_of)).alias("s")).select(*key, "s.*")
     phrase = F.col("k") == 2
-    share = F.size(F.array_intersect(span, F.col("tw"))) / F.size(F.array_distinct("tw"))
-    good = joined.withColumn("share", F.when(phrase, (span == F.col("tw")).cast("double")).otherwise(share)).where(F.col("share") >= F.when(phrase, 1.0).otherwise(0.6))
+    good = judged.where(F.col("share") >= F.when(phrase, 1.0).otherwise(0.6))
     base = F.when(phrase, F.col("start"))
     got = good.groupBy(*key).agg(
         F.count(base).alias("n_base"),
