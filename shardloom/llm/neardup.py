@@ -2,8 +2,9 @@
 
 Each pass orders the vectors of a label lexicographically by concatenated
 random hashes (signs of random projections) and compares every vector with its
-neighbours in that order, in double precision; verified pairs of all passes are
-united. A pair at the threshold agrees in a bit with probability
+neighbours in that order. Passes carry vectors in a byte a component, whose error
+is known; pairs that this leaves open are compared in double precision (others
+follow from it), and verified pairs of all passes are united. A pair at the threshold agrees in a bit with probability
 1 - arccos(t) / pi, so the number of passes follows from the size of the largest
 label and the recall asked for (`passes_for`), if vectors are spread evenly. How
 many bits it really takes to tell a vector from those it does not link with is
@@ -28,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ WINDOW = 128
 #: Windows that a partition of the order holds, at least, so that few end at its boundary.
 WINDOWS = 32
 #: Vectors of a component that are compared at a time.
-BLOCK = 1024
+BLOCK = 512
 #: Vectors of a label that measure() takes bits from, those it takes them for, and passes it looks at.
 SAMPLE, QUERIES, PILOTS = 4096, 256, 8
 #: Passes a label may need before it is compared whole instead, if small enough; and what stands for no number being enough.
@@ -119,10 +121,11 @@ def compared_whole(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def project(vectors: DataFrame, seed: int = 17) -> DataFrame:
-    """(turn, part, code, node, embedding): each vector once in each of its `passes`, with its concatenated hashes."""
-    element = vectors.schema["embedding"].dataType.elementType.simpleString()
-    value = pa.float32() if element == "float" else pa.float64()
-    kind = pa.schema([("turn", pa.int32()), ("part", pa.int64()), ("code", pa.int64()), ("node", pa.int64()), ("embedding", pa.list_(value))])
+    """(turn, part, code, node, short, off): each vector once in each of its `passes`, with its concatenated hashes.
+
+    `short`: the vector in a byte a component; `off`: how far its direction is from the vector's.
+    """
+    kind = pa.schema([("turn", pa.int32()), ("part", pa.int64()), ("code", pa.int64()), ("node", pa.int64()), ("short", pa.binary()), ("off", pa.float32())])
 
     def run(batches):
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -133,14 +136,23 @@ def project(vectors: DataFrame, seed: int = 17) -> DataFrame:
                 size, passes = np.asarray(rows.column(2).value_lengths()), rows.column(3).to_numpy()
                 for dim, most in np.unique(np.column_stack([size, passes]), axis=0).tolist():
                     own = rows.take(pa.array(np.flatnonzero((size == dim) & (passes == most))))
-                    x, embedding = _matrix(own.column(2)), own.column(2).cast(pa.list_(value))
+                    x = _matrix(own.column(2))
+                    byte = np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
+                    off = np.linalg.norm(x - directions(byte), axis=1) + 1e-5
+                    short = pa.array([b.tobytes() for b in byte], pa.binary())
                     for turn in range(most):
                         if (dim, turn) not in planes:
                             planes[dim, turn] = np.random.default_rng([seed, dim, turn]).normal(size=(dim, BITS))
                         code = (x @ planes[dim, turn] > 0) @ power
-                        yield C.batch_of(kind, turn=np.full(len(own), turn, np.int32), part=own.column(1), code=code, node=own.column(0), embedding=embedding)
+                        yield C.batch_of(kind, turn=np.full(len(own), turn, np.int32), part=own.column(1), code=code, node=own.column(0), short=short, off=off)
+
+    return vectors.select("node", "part", "embedding", "passes").mapInArrow(run, "turn int, part long, code long, node long, short binary, off float")
 
-    return vectors.select("node", "part", "embedding", "passes").mapInArrow(run, f"turn int, part long, code long, node long, embedding array<{'float' if element == 'float' else 'double'}>")
+
+def directions(byte: np.ndarray) -> np.ndarray:
+    """Unit rows of vectors of bytes."""
+    x = byte.astype(np.float64)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,33 +181,74 @@ def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbours(ordered: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): verified pairs among neighbours of the given order, within each partition."""
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(a, b, sure): pairs among neighbours of the given order, within each partition.
+
+    Directions of bytes tell a cosine to within the sum of what they are off; so
+    a pair is a link for `sure`, or not at all, or left to `verified`, unless
+    sure links of its window join the two already.
+    """
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
     def run(batches):
-        tail: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        tail: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             turn, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            size = np.asarray(batch.column(4).value_lengths())
+            size = pc.binary_length(batch.column(4)).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], (turn[1:] != turn[:-1]) | (part[1:] != part[:-1]) | (size[1:] != size[:-1]), [True]]))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 name = (int(turn[lo]), int(part[lo]), int(size[lo]))
-                x, node = _matrix(batch.column(4).slice(lo, hi - lo)), batch.column(3).slice(lo, hi - lo).to_numpy()
+                byte = np.frombuffer(b"".join(batch.column(4).slice(lo, hi - lo).to_pylist()), np.int8).reshape(hi - lo, -1)
+                own = (directions(byte), batch.column(3).slice(lo, hi - lo).to_numpy(), batch.column(5).slice(lo, hi - lo).to_numpy().astype(float))
                 if name in tail:
-                    x, node = np.concatenate([tail[name][0], x]), np.concatenate([tail[name][1], node])
+                    own = tuple(np.concatenate(v) for v in zip(tail[name], own, strict=True))
+                x, node, off = own
                 for i in range(0, len(x), WINDOW):
-                    near = x[i : i + WINDOW] @ x[i : i + 2 * WINDOW].T
-                    r, c = forest(near >= threshold)
-                    if len(r):
-                        yield C.batch_of(kind, a=node[i + r], b=node[i + c])
-                tail = {name: (x[-WINDOW:], node[-WINDOW:])}
+                    j = slice(i, i + 2 * WINDOW)
+                    cosine = x[i : i + WINDOW] @ x[j].T
+                    give = off[i : i + WINDOW, None] + off[j]
+                    if not (cosine >= threshold - give).sum() > len(cosine):  # besides each with itself
+                        continue
+                    r, c = forest(cosine >= threshold + give)
+                    joined = groups(len(x[j]), r, c)
+                    ur, uc = np.nonzero(np.triu(np.abs(cosine - threshold) < give, 1) & (joined[: len(cosine), None] != joined[None, :]))
+                    yield C.batch_of(kind, a=np.concatenate([node[i + r], node[i + ur]]), b=np.concatenate([node[i + c], node[i + uc]]), sure=np.arange(len(r) + len(ur)) < len(r))
+                tail = {name: tuple(v[-WINDOW:] for v in own)}
+
+    return ordered.mapInArrow(run, "a long, b long, sure boolean")
+
+
+def groups(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A number for each of n things, alike for those that links r to c join."""
+    of = np.arange(n)
+    while len(r):
+        low = np.minimum(of[r], of[c])
+        before = of.copy()
+        np.minimum.at(of, r, low)
+        np.minimum.at(of, c, low)
+        if (of == before).all():
+            break
+    return of
+
+
+def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Those of `pairs` (a, b) that are links, in double precision."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            size = np.asarray(batch.column(2).value_lengths())
+            for dim in np.unique(size).tolist():
+                rows = batch.take(pa.array(np.flatnonzero(size == dim)))
+                ok = pa.array(np.einsum("ij,ij->i", _matrix(rows.column(2)), _matrix(rows.column(3))) >= threshold)
+                yield C.batch_of(kind, a=rows.column(0).filter(ok), b=rows.column(1).filter(ok))
 
-    return ordered.mapInArrow(run, "a long, b long")
+    side = lambda k, v: vectors.select(F.col("node").alias(k), F.col("embedding").alias(v))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links) for `members` (node, root, copies, embedding): links within each component, copies counted."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = C.materialize(members.groupBy("root").agg(F.count("*").alias("size")))  # so that a large root's rows can be split in the join
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK))
     spread = members.join(sizes, "root").withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     # a block meets each block (itself too) once: as the smaller of the two or as the larger
@@ -207,15 +260,17 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     def run(key, rows):
         x = _matrix(rows["embedding"].combine_chunks())
         node, copies, block = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
-        one = np.flatnonzero(block == key[1].as_py())
-        two = np.flatnonzero(block == key[2].as_py())
+        one = np.flatnonzero(block == rows["lo"][0].as_py())
+        two = np.flatnonzero(block == rows["hi"][0].as_py())
         near = x[one] @ x[two].T >= threshold
-        if key[1] == key[2]:
+        if rows["lo"][0] == rows["hi"][0]:
             np.fill_diagonal(near, False)
             return pa.table({"node": node[one], "links": (near @ copies[two]).astype(np.int64)})
         return pa.table({"node": np.concatenate([node[one], node[two]]), "links": np.concatenate([near @ copies[two], copies[one] @ near]).astype(np.int64)})
 
-    return sent.groupBy("root", "lo", "hi").applyInArrow(run, kind).groupBy("node").agg(F.sum("links").alias("links"))
+    # one key of its own for each two blocks, or all of a component would stay where its root was dealt
+    cells = sent.withColumn("cell", F.concat_ws(":", "root", "lo", "hi")).drop("root")
+    return cells.groupBy("cell").applyInArrow(run, kind).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.93, recall: float = 0.999) -> DataFrame:
@@ -234,14 +289,16 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, recall: float = 0
     n = max(1, min(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), sent // (WINDOWS * WINDOW)))
     # the node breaks ties, so that equal codes spread over partitions
     ordered = projected.repartitionByRange(n, "turn", "part", "code", "node").sortWithinPartitions("turn", "part", "code", "node")
-    links = neighbours(ordered, threshold)
+    found = C.materialize(neighbours(ordered, threshold).distinct())
+    links = found.where("sure").select("a", "b")
+    links = links.union(verified(found.where("not sure").select("a", "b").join(links, ["a", "b"], "left_anti"), vectors, threshold))
     if plan.where("whole").limit(1).count():
         links = links.union(compared_whole(planned.where("whole"), threshold))
     links = C.materialize(links.distinct())
     roots = C.materialize(graph.components(links))
-    members = roots.join(vectors, "node").select("node", "root", "copies", "embedding")
+    members = C.materialize(roots.join(vectors, "node").select("node", "root", "copies", "embedding"))
     linked = link_counts(members, threshold)
-    least = roots.join(vectors.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
+    least = C.materialize(roots.join(vectors.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component")))
     known = vectors.select("node", "copies", "least").join(roots, "node", "left").join(linked, "node", "left").join(least, "root", "left")
     known = known.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))
     got = rows.select("vec_id", "node").join(known, "node", "left")
