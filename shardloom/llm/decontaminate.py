@@ -13,7 +13,9 @@ which can only add hits; the extension compares the exact words.
 Defined results: a null or wordless text has n_words 0 and hits nothing; a null
 or wordless item has no window; identical rows get identical rows back; an item
 id may be null (listed as nothing, yet counted by its windows); documents of the
-same id but other texts are told apart. Other columns are ignored.
+same id but other texts are told apart; a very long text is looked at whole, in
+time that grows with its words; empty tables give no rows or no hits. Other
+columns are ignored, and `drop_contaminated` carries them whatever their names.
 """
 
 from __future__ import annotations
@@ -126,11 +128,11 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = GRAM
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = GRAM, share: int = 20) -> DataFrame:
     """The rows of `docs`, all columns, but for contaminated documents."""
-    found = contamination(docs, items, window, k).select("doc_id", "body", "size", "n_hit")
-    found = found.select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), F.col("size").alias("_s"), F.col("n_hit").alias("_n"))
-    rows = docs.withColumns({"_body": F.xxhash64("text"), "_size": F.coalesce(F.octet_length("text"), F.lit(0)), "_words": F.size(N.cased_words(F.col("text")))})
-    bad = rows["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_body") == F.col("_b")) & (F.col("_size") == F.col("_s")) & (F.col("_n") * share >= F.col("_words"))
-    return rows.join(found, bad, "left_anti").select(*docs.columns)
+    found = contamination(docs, items, window, k)
+    # whole rows travel in one column, so that theirs may have any names
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("b"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("s"), F.size(N.cased_words(F.col("text"))).alias("n"))
+    bad = F.col("i").eqNullSafe(found["doc_id"]) & (F.col("b") == found["body"]) & (F.col("s") == found["size"]) & (found["n_hit"] * share >= F.col("n"))
+    return rows.join(found, bad, "left_anti").select("row.*")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

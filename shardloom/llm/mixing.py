@@ -18,7 +18,8 @@ Defined results: a null source is a source of its own; texts without words
 (null, empty) weigh nothing and are in every whole pass; repeated rows are each
 drawn; an empty table gives no rows. A budget beyond `max_repeats` times all
 tokens, or an entropy that proportional weights already exceed, cannot be met
-and raises ValueError. Columns of the input are kept; added ones (n_tokens,
+and raises ValueError. A very long text is one row like others, drawn whole or
+not at all. Columns of the input are kept, whatever their names; added ones (n_tokens,
 weight, pass, position) replace input columns of those names.
 """
 
@@ -75,13 +76,15 @@ def mix_sources(docs: DataFrame, budget: float | None = None, max_repeats: float
     spark = docs.sparkSession
     docs = docs.drop("n_tokens", "weight", "pass", "position")
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(BLOCKS * BLOCKS))
-    rows = docs.withColumns({"n_tokens": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"), "_u": u})
+    n_tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    # whole rows travel in one column, so that theirs may have any names
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("source"), n_tokens.alias("n_tokens"), u.alias("_u"))
     slim = C.materialize(rows.select("source", "n_tokens", "_u"))
     sources = C.materialize(slim.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens")))
     full = sources.where("n_tokens > 0")
     total = float(full.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
-        return rows.drop("_u").withColumns({"weight": F.lit(0.0), "pass": F.lit(1).cast("long"), "position": F.lit(0.0)})
+        return rows.select("row.*", "n_tokens", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("pass"), F.lit(0.0).alias("position"))
     budget = total if budget is None else float(budget)
     a = find_exponent(full, budget, total, max_repeats, target_entropy)
     share = F.pow(F.col("n_tokens") / F.lit(total), F.lit(a))
@@ -114,7 +117,7 @@ def mix_sources(docs: DataFrame, budget: float | None = None, max_repeats: float
     cell = F.coalesce((block == F.col("b1")) & (sub == F.col("b2")), F.lit(False))
     before = F.coalesce((block < F.col("b1")) | ((block == F.col("b1")) & (sub < F.col("b2"))), (F.col("rest") > 0) & F.col("b1").isNull())
     out = joined.where(~cell).withColumn("partial", before.cast("int"))
-    w = Window.partitionBy("_source").orderBy("_u", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("_source").orderBy("_u", "row.doc_id", "row.text").rowsBetween(Window.unboundedPreceding, 0)
     edge = joined.where(cell).withColumn("partial", (F.sum("n_tokens").over(w) <= F.col("left2")).cast("int"))
     out = out.unionByName(edge).withColumn("_n", F.col("whole") + F.col("partial")).where("_n > 0")
     out = out.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"))))
@@ -124,7 +127,7 @@ def mix_sources(docs: DataFrame, budget: float | None = None, max_repeats: float
     partial_size = F.greatest(F.col("epochs") - F.col("whole"), F.lit(1e-9))
     spot = F.when(F.col("pass") > F.col("whole"), F.least(F.lit(1.0), spot / partial_size) * partial_size).otherwise(spot)
     out = out.withColumn("position", F.least(F.lit(1.0), (F.col("pass") - 1 + spot) / F.greatest(F.col("epochs"), F.lit(1e-9))))
-    return out.select(*docs.columns, "n_tokens", "weight", "pass", "position")
+    return out.select("row.*", "n_tokens", "weight", "pass", "position")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

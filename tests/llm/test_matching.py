@@ -64,6 +64,7 @@ def test_decontamination(spark):
     got = decontaminate.judge(docs, few)
     want = contamination(rows, long)
     assert sorted(str((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in got.collect()) == want
+    docs = docs.withColumns({c: F.lit(7) for c in ("_n", "_body", "_size", "_words", "row", "i", "b", "s", "n")})
     kept = decontaminate.drop_contaminated(docs, few)
     assert kept.columns == docs.columns and kept.count() == sum(w.endswith("False)") for w in want)
     assert decontaminate.judge(docs, few.limit(0)).where("n_hit > 0").count() == 0
@@ -111,6 +112,23 @@ def test_licenses(spark):
     assert license.scan(docs.limit(0), license.templates(spark, license.PHRASES, 2, 1.0), license.templates(spark, license.NOTICES, 4, 0.5)).count() == 0
 
 
+def test_licenses_in_long_texts(spark):
+    """A text of thousands of places takes no more than in proportion, and templates need no Python."""
+    import time
+
+    def seconds(n):
+        docs, began = frame(spark, [(1, "cc by " * n + "words " * 100_000), (2, "mit license")]), time.perf_counter()
+        got = {r.doc_id: r for r in license.scan(docs, license.templates(spark, license.PHRASES, 2, 1.0), license.templates(spark, license.NOTICES, 4, 0.5)).collect()}
+        assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].n_words) == (n, 0, 2 * n - 2, 2 * n + 100_000)
+        return time.perf_counter() - began
+
+    seconds(10)
+    few, many = seconds(2_000), seconds(8_000)
+    assert many < 4 * few + 5
+    plan = license.templates(spark, license.NOTICES, 4, 0.5)._jdf.queryExecution()
+    assert "RDD" not in plan.analyzed().toString() and "python" not in plan.toRdd().toDebugString().lower()
+
+
 # ---------------------------------------------------------------- components, set joins
 
 
@@ -329,6 +347,8 @@ def test_mixing(spark):
         rows += [(len(rows) + k, " ".join(["w"] * int(rng.integers(1, 30))), s) for k in range(n)]
     rows += [(9000, None, "big"), (9001, "", "void"), (None, "x y", "small"), (5, rows[5][1], "big")]
     docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, source string, weight int")
+    odd = ("rest", "epochs", "_n", "_u", "row", "whole", "partial", "_source", "b1", "left1", "_s1", "cell", "left")
+    docs = docs.withColumns({c: F.lit(7) for c in odd})
     tokens = lambda t: len((t or "").split())
     total, by = {}, {}
     for _, t, s in rows:
@@ -362,6 +382,7 @@ def test_mixing(spark):
             if p <= epochs:
                 assert n == sum(x[2] == s for x in rows)
         assert all(0 <= r.position <= 1 for r in got)
+    assert all(r[c] == 7 for r in got for c in odd)
     entropy = lambda w: -sum(x * math.log(x) for x in w if x)
     got = mixing.mix_sources(docs, max_repeats=1e9, target_entropy=1.1)
     w = {r.source: r.weight for r in got.select("source", "weight").distinct().collect()}
