@@ -1,7 +1,9 @@
 """INSERT, REPLACE, UPDATE and DELETE on a table's partitioned Parquet.
 
 Only the partitions that pruning leaves are rewritten: the new rows go to a
-staging folder first, then each touched partition is swapped by rename. Inside
+staging folder first, then each touched partition is swapped by rename; the old
+ones are kept aside until all are swapped, and a writer that finds some left by
+one that died puts back those that are missing. Inside
 BEGIN … COMMIT the statements wait until COMMIT. Each statement returns one row
 (affected, last_insert_id).
 """
@@ -11,7 +13,7 @@ from __future__ import annotations
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dialect as D
@@ -74,33 +76,57 @@ def _fs(engine, path: str):
 
 def replace_partitions(engine, table: LogicalTable, rows: DataFrame, shards: set[Shard] | None) -> None:
     """Put `rows` (with __db, __tb) in place of the partitions `shards` (all if None)."""
-    stage = f"{table.path.rstrip('/')}.stage-{uuid.uuid4().hex}"
+    base, tag = table.path.rstrip("/"), uuid.uuid4().hex
+    stage, aside = f"{base}.stage-{tag}", f"{base}.old-{tag}"
     rows.hint("rebalance", *[F.col(p) for p in PARTS]).write.partitionBy(*PARTS).parquet(stage)
-    fs, path = _fs(engine, table.path)
+    recover(engine, table)
+    fs, path = _fs(engine, base)
     for d, t in table.topology.shards() if shards is None else sorted(shards):
-        old, new = path(f"{table.path}/__db={d}/__tb={t}"), path(f"{stage}/__db={d}/__tb={t}")
+        part = f"__db={d}/__tb={t}"
+        old, new, kept = path(f"{base}/{part}"), path(f"{stage}/{part}"), path(f"{aside}/{part}")
         if fs.exists(old):
-            fs.delete(old, True)
+            fs.mkdirs(kept.getParent())
+            fs.rename(old, kept)
         if fs.exists(new):
             fs.mkdirs(old.getParent())
             fs.rename(new, old)
+    fs.mkdirs(path(f"{aside}/done"))
+    fs.delete(path(aside), True)
     fs.delete(path(stage), True)
     engine.spark.catalog.refreshByPath(table.path)
 
 
+def recover(engine, table: LogicalTable) -> None:
+    """Undo a swap that was not finished. A table has one writer at a time."""
+    base = table.path.rstrip("/")
+    fs, path = _fs(engine, base)
+    here = path(base)
+    for left in fs.globStatus(path(f"{base}.old-*")) or []:
+        aside = left.getPath()
+        if not fs.exists(path(f"{aside}/done")):
+            for part in fs.globStatus(path(f"{aside}/__db=*/__tb=*")) or []:
+                kept = part.getPath()
+                old = path(f"{base}/{kept.getParent().getName()}/{kept.getName()}")
+                fs.delete(old, True)
+                fs.mkdirs(old.getParent())
+                fs.rename(kept, old)
+        fs.delete(aside, True)
+        engine.spark.catalog.refreshByPath(str(here))
+
+
 def append(engine, table: LogicalTable, rows: DataFrame) -> None:
     rows.write.mode("append").partitionBy(*PARTS).parquet(table.path)
     engine.spark.catalog.refreshByPath(table.path)
 
 
-def _typed(engine, table: LogicalTable, frame: DataFrame) -> DataFrame:
+def _typed(engine, table: LogicalTable, frame: DataFrame, *more) -> DataFrame:
     """All columns of the table in order and type; missing ones are NULL."""
     schema = read_table(engine.spark, table, set()).drop(*PARTS).schema
     have = {c.lower(): c for c in frame.columns}
-    unknown = set(have) - {f.name.lower() for f in schema}
+    unknown = set(have) - {f.name.lower() for f in schema} - {"__row"}
     if unknown:
         raise LookupError(f"unknown columns {sorted(unknown)}")
-    return frame.select(*[(F.col(have[f.name.lower()]) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    return frame.select(*[(F.col(have[f.name.lower()]) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema], *more)
 
 
 def _insert(engine, tokens: list[D.Token], pos: list[int]):
@@ -143,49 +169,99 @@ def _insert(engine, tokens: list[D.Token], pos: list[int]):
     if missing:
         raise ShardKeyError(f"no shard key found: {missing}")
 
+    def incoming() -> DataFrame:
+        return engine.spark.sql(text) if text else engine.select(list(query)).toDF(*columns)
+
     def action() -> tuple[int, int]:
-        frame = engine.spark.sql(text) if text else engine.select(query).toDF(*columns)
-        last = 0
-        auto = table.auto_increment
-        if auto and auto.lower() not in given:
-            n = frame.count()
-            ids = engine.sequences.get(table.sequence or table.name).block(n)
-            last = ids[-1] if ids else 0
-            # a statement's rows are a literal list or bounded selection; each gets an id of its own
-            numbered = frame.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF([*frame.columns, "_nth"]) if n else frame.withColumn("_nth", F.lit(0))
-            given_ids = engine.spark.createDataFrame(list(enumerate(ids)), f"_nth long, `{auto}` long")
-            frame = numbered.join(given_ids, "_nth").drop("_nth")
-        placed = with_shards(_typed(engine, table, frame), table)
-        n = placed.count()
+        # stored once: counted, looked through for shards and written from there
+        held = f"{table.path.rstrip('/')}.in-{uuid.uuid4().hex}"
+        row = F.monotonically_increasing_id()
+        incoming().withColumns({"__part": F.shiftright(row, 33), "__row": row}).write.parquet(held)
+        try:
+            return write(engine.spark.read.parquet(held))
+        finally:
+            fs, path = _fs(engine, held)
+            fs.delete(path(held), True)
+
+    def write(frame: DataFrame) -> tuple[int, int]:
+        sizes = sorted((r[0], r[1]) for r in frame.groupBy("__part").count().collect())  # a row for each partition written
+        n, last = sum(c for _, c in sizes), 0
         if not n:
             return 0, last
-        if not (replace or sets or ignore) or not table.primary_key:
-            append(engine, table, placed)
+        auto = table.auto_increment
+        if auto and auto.lower() not in given:
+            make, last = engine.sequences.get(table.sequence or table.name).reserve(n)
+            before, start = [], 0
+            for part, c in sizes:
+                before += [F.lit(part), F.lit(start)]
+                start += c
+            nth = F.create_map(*before)[F.col("__part")] + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+            frame = frame.withColumn(auto, make(nth.cast("long")))
+        placed = with_shards(_typed(engine, table, frame.drop("__part"), F.col("__row")), table)
+        if not table.primary_key:
+            append(engine, table, placed.drop("__row"))
             return n, last
         shards = {(r[0], r[1]) for r in placed.select(*PARTS).distinct().collect()}  # at most one a shard
         old = read_table(engine.spark, table, shards)
         key = list(table.primary_key)
-        new = placed.dropDuplicates(key)
+        by_key = Window.partitionBy(*key).orderBy("__row")
+        turns = placed.withColumn("__turn", F.row_number().over(by_key))
+        most = turns.agg(F.max("__turn")).first()[0]
+        known = placed.select(*key).distinct().join(old.select(*key), key, "left_semi").count()
+        if not (replace or sets or ignore):
+            if known or most > 1:
+                raise DuplicateKeyError(f"duplicate entry for key PRIMARY of {table.name}")
+            append(engine, table, placed.drop("__row"))
+            return n, last
+        distinct = placed.select(*key).distinct().count() if most > 1 else n
+        inserted = distinct - known
+        first = turns.where("__turn = 1").drop("__row", "__turn")
+        if ignore and not sets:
+            append(engine, table, first.join(old.select(*key), key, "left_anti").select(*old.columns))
+            return inserted, last
         if replace:
-            merged, again = old.join(new.select(*key), key, "left_anti").unionByName(new), old.join(new.select(*key), key, "left_semi")
-        elif ignore and not sets:
-            merged, again = old.unionByName(new.join(old.select(*key), key, "left_anti")), old.limit(0)
+            final = turns.withColumn("__last", F.max("__turn").over(Window.partitionBy(*key))).where("__turn = __last").drop("__row", "__turn", "__last")
+            merged = old.join(final.select(*key), key, "left_anti").unionByName(final)
         else:
-            again = old.join(new.select(*key), key, "left_semi")
-            incoming = new.select(*[F.col(c).alias(f"_new_{c}") for c in new.columns])
-            cond = " AND ".join(f"`{c}` <=> `_new_{c}`" for c in key)
-            touched = old.join(incoming, F.expr(cond), "left")
-            hit = F.col(f"_new_{key[0]}").isNotNull()
-            fix = lambda v: _values_function(v, new.columns)
-            touched = touched.select(*[(F.when(hit, F.expr(fix(sets[c.lower()]))).otherwise(F.col(c)).cast(old.schema[c].dataType).alias(c) if c.lower() in sets else F.col(c)) for c in old.columns])
-            merged = touched.unionByName(new.join(old.select(*key), key, "left_anti"))
-        updated = again.count()
+            merged = old
+            for turn in range(1, most + 1):  # a key given several times is updated by each in order
+                merged = _upsert(merged, turns.where(F.col("__turn") == turn).drop("__row", "__turn"), key, sets)
         replace_partitions(engine, table, merged, shards)
-        return (n if not (ignore and not sets) else n) + updated, last
+        return inserted + 2 * (n - inserted), last
 
+    action.incoming = lambda: with_shards(_typed(engine, table, incoming()), table) if not (table.auto_increment and table.auto_increment.lower() not in given) else None
+    action.table = table
     return action
 
 
+class DuplicateKeyError(ValueError):
+    """An INSERT without IGNORE or ON DUPLICATE KEY gives a primary key that is there already."""
+
+
+def _upsert(old: DataFrame, new: DataFrame, key: list[str], sets: dict[str, str]) -> DataFrame:
+    """`old` with its rows of the keys of `new` changed by `sets`, and the rows of other keys added."""
+    incoming = new.select(*[F.col(c).alias(f"_new_{c}") for c in new.columns])
+    touched = old.join(incoming, F.expr(" AND ".join(f"`{c}` <=> `_new_{c}`" for c in key)), "left")
+    hit = F.col(f"_new_{key[0]}").isNotNull()
+    fix = lambda v: _values_function(v, new.columns)
+    touched = touched.select(*[(F.when(hit, F.expr(fix(sets[c.lower()]))).otherwise(F.col(c)).cast(old.schema[c].dataType).alias(c) if c.lower() in sets else F.col(c)) for c in old.columns])
+    return touched.unionByName(new.join(old.select(*key), key, "left_anti"))
+
+
+def explain(engine, tokens: list[D.Token], params: list[Any] | None = None) -> DataFrame:
+    """The table and shards a write would touch; nothing is written."""
+    tokens = D.normalize(_bind(tokens, params))
+    pos = D.code(tokens)
+    head = tokens[pos[0]].up
+    action = {"INSERT": _insert, "REPLACE": _insert, "UPDATE": _update, "DELETE": _delete}[head](engine, tokens, pos)
+    if head in ("INSERT", "REPLACE"):
+        placed = action.incoming()
+        shards = None if placed is None else {(r[0], r[1]) for r in placed.select(*PARTS).distinct().collect()}
+    else:
+        shards = action.shards
+    return engine.rows([(action.table.name, P.render(shards), len(shards) if shards is not None else None, head)], "table_name string, shards string, n_shards int, plan string")
+
+
 def _values_function(text: str, columns: list[str]) -> str:
     """VALUES(c) is the row that was to be inserted."""
     import re
@@ -252,6 +328,7 @@ def _update(engine, tokens: list[D.Token], pos: list[int]):
             replace_partitions(engine, table, new, shards)
         return n, 0
 
+    action.shards, action.table = shards, table
     return action
 
 
@@ -274,4 +351,5 @@ def _delete(engine, tokens: list[D.Token], pos: list[int]):
             replace_partitions(engine, table, rows.where("NOT _hit").drop("_hit"), shards)
         return n, 0
 
+    action.shards, action.table = shards, table
     return action

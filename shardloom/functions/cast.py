@@ -42,11 +42,15 @@ def charset(x: Column, name: str) -> Column:
     if codec == "utf_16_be":
         return F.encode(x, "UTF-16BE")
 
+    return encoder(codec)(x)
+
+
+def encoder(codec: str):
     @F.pandas_udf("binary")
     def encode(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else v.encode(codec, "replace"))
 
-    return encode(x)
+    return encode
 
 
 def _year(y: Column) -> Column:
@@ -79,7 +83,7 @@ def date_text(x: Column) -> Column:
 
 
 def datetime(x: Column) -> Column:
-    """A date, a space or `T`, `h:m:s` with any punctuation, or 11 to 14 digits; a fraction from .5 on adds a second."""
+    """A date, a space or `T`, `h:m:s` with any punctuation, or 11 to 14 digits; a fraction from .5 on adds a second. A date alone is its midnight."""
     s = F.trim(x)
     m = lambda i: F.regexp_extract(s, r"^(\d{1,4}[^0-9\s]\d{1,2}[^0-9\s]\d{1,2})[ T]+(\d{1,2})[^0-9\s](\d{1,2})[^0-9\s](\d{1,2})(?:\.(\d*))?$", i)
     k = lambda i: F.regexp_extract(s, r"^(\d{11,14})(?:\.(\d*))?$", i)
@@ -93,7 +97,8 @@ def datetime(x: Column) -> Column:
     up = F.when(F.substring(fraction, 1, 1) >= "5", 1).otherwise(0)
     valid = day.isNotNull() & (hour <= 23) & (minute <= 59) & (second <= 59)
     total = hour * 3600 + minute * 60 + second + up
-    return F.when(valid, day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), total.cast("decimal(18,6)")))
+    full = F.when(valid, day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), total.cast("decimal(18,6)")))
+    return F.coalesce(full, date(s).cast("timestamp_ntz"))
 
 
 def datetime_text(x: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Session SQL functions for text queries: Catalyst inlines their bodies."""
+"""Session SQL functions for text queries: Catalyst inlines their bodies. (The engine writes SQRT, ASIN, ACOS and MOD by the argument's own type.)"""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ BODIES = {
     "sl_sqrt": ("x STRING", "DOUBLE", f"CASE WHEN ({_NUM}) >= 0 THEN sqrt({_NUM}) END"),
     "sl_asin": ("x STRING", "DOUBLE", f"CASE WHEN abs({_NUM}) <= 1 THEN asin({_NUM}) END"),
     "sl_acos": ("x STRING", "DOUBLE", f"CASE WHEN abs({_NUM}) <= 1 THEN acos({_NUM}) END"),
+    "sl_mod": ("x DECIMAL(38,10), y DECIMAL(38,10)", "DECIMAL(38,10)", "try_mod(x, y)"),
     "sl_pi": ("", "DECIMAL(7,6)", "3.141593"),
     "sl_truncate": ("x DOUBLE, d INT", "DOUBLE", "signum(x) * floor(round(abs(x) * pow(10D, d), 9)) / pow(10D, d)"),
-    "sl_mod": ("x DECIMAL(38,10), y DECIMAL(38,10)", "DECIMAL(38,10)", "try_mod(x, y)"),
     "sl_power": ("x DOUBLE, y DOUBLE", "DOUBLE", "CASE WHEN abs(power(x, y)) = double('infinity') THEN raise_error('DOUBLE value is out of range') ELSE power(x, y) END"),
     "sl_length": ("x STRING", "BIGINT", "CAST(octet_length(x) AS BIGINT)"),
     "sl_substring": ("x STRING, p INT, n INT DEFAULT 2147483647", "STRING", "CASE WHEN x IS NULL OR p IS NULL OR n IS NULL THEN NULL WHEN p = 0 OR abs(p) > char_length(x) OR n < 1 THEN '' ELSE substring(x, p, n) END"),
@@ -37,6 +37,11 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
     for name, make, kind in (("sl_cast_date", cast.date, "DATE"), ("sl_cast_datetime", cast.datetime, "TIMESTAMP_NTZ"), ("sl_cast_time", cast.time_text, "STRING")):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {_sql_of(spark, make)}")
+    for name, codec in cast.CHARSETS.items():
+        if codec.startswith("utf"):
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION sl_charset_{name}(x STRING) RETURNS BINARY RETURN {_sql_of(spark, lambda x, n=name: cast.charset(x, n))}")
+        else:  # Spark's own encoder has few character sets
+            spark.udf.register(f"sl_charset_{name}", cast.encoder(codec))
 
 
 def _sql_of(spark: SparkSession, make) -> str:

@@ -1,5 +1,5 @@
 """Relational operators as functions from DataFrames to DataFrames."""
 
-from .relational import aggregate, distinct, filter_rows, group, join, limit, project, rename, rollup, sort, topk, union
+from .relational import join
 
-__all__ = ["aggregate", "distinct", "filter_rows", "group", "join", "limit", "project", "rename", "rollup", "sort", "topk", "union"]
+__all__ = ["join"]

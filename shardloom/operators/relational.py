@@ -1,32 +1,15 @@
-"""Thin, declarative operators; Catalyst and adaptive execution choose the physical ones.
+"""Joins by a chosen physical strategy; all else is said in SQL or with DataFrame methods.
 
-Semantics are those of the unsharded logical table: groups merge over all
-shards, HAVING and DISTINCT see merged rows, joins keep every match, NULLs sort
-first ascending and last descending.
+Semantics are those of the unsharded logical table: joins keep every match.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 JOINS = {"inner", "left", "right", "cross", "full", "left_semi", "left_anti"}
 
 
-def project(df: DataFrame, *columns: Column | str) -> DataFrame:
-    return df.select(*columns)
-
-
-def filter_rows(df: DataFrame, predicate: Column | str) -> DataFrame:
-    return df.where(predicate)
-
-
-def rename(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.toDF(*names)
-
-
 def join(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner", strategy: str | None = None) -> DataFrame:
     """`strategy`: a Spark join hint (merge, shuffle_hash, …) for `right`; broadcasts are left to measured sizes."""
     if how not in JOINS:
@@ -34,45 +17,3 @@ def join(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: s
     if strategy:
         right = right.hint(strategy)
     return left.crossJoin(right) if how == "cross" else left.join(right, on, how)
-
-
-def group(df: DataFrame, keys: Sequence[Column | str], having: Column | str | None = None, **aggregates: Column) -> DataFrame:
-    """Two-phase aggregation by columns or expressions."""
-    out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return out if having is None else out.where(having)
-
-
-def aggregate(df: DataFrame, **aggregates: Column) -> DataFrame:
-    return df.agg(*[c.alias(n) for n, c in aggregates.items()])
-
-
-def rollup(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
-    return df.rollup(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-
-
-def sort(df: DataFrame, *order: Column | str) -> DataFrame:
-    return df.orderBy(*order)
-
-
-def limit(df: DataFrame, n: int, offset: int = 0) -> DataFrame:
-    return df.offset(offset).limit(n) if offset else df.limit(n)
-
-
-def topk(df: DataFrame, order: Sequence[Column | str], n: int, offset: int = 0) -> DataFrame:
-    """Each task keeps offset + n rows; only those meet."""
-    return limit(df.orderBy(*order), n, offset)
-
-
-def union(*frames: DataFrame, distinct_rows: bool = False) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out.distinct() if distinct_rows else out
-
-
-def distinct(df: DataFrame, *columns: str) -> DataFrame:
-    return (df.select(*columns) if columns else df).distinct()
-
-
-def count_if(condition: Column) -> Column:
-    return F.sum(F.when(condition, 1).otherwise(0))

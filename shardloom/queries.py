@@ -22,6 +22,7 @@ from .streaming import event_windows, sessions
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+TEXTS: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,7 +66,7 @@ def engine_table(engine: Engine, name: str):
 
 def _text(name: str, sql: str, oracle: str | None = None, on=flat, params: list | None = None) -> None:
     QUERIES[name] = lambda spark, folder: on(spark, folder).sql(sql, list(params) if params else None)
-    ORACLE_SQL[name] = oracle or sql
+    ORACLE_SQL[name], TEXTS[name] = oracle or sql, sql
 
 
 def _frame(name: str, oracle: str | None):
@@ -245,17 +246,38 @@ for _name, _make, _sql in (
 
 # ---------------------------------------------------------------- metadata, sequences, writes
 
-for _name, _sql in {"show_topology": "SHOW TOPOLOGY FROM orders", "show_table_rules": "SHOW TABLE RULES FROM orders", "show_sharding_table": "SHOW SHARDING TABLE FROM shop", "explain_shards": "EXPLAIN SELECT * FROM orders WHERE o_custkey IN (1, 2)"}.items():
+_GRID = "SELECT range AS id, printf('shop_%04d', CAST(floor(range / 8) AS INTEGER)) AS group_name, printf('orders_%04d', range) AS table_name FROM range(32)"
+for _name, _sql, _want in (
+    ("show_topology", "SHOW TOPOLOGY FROM orders", "SELECT CAST(id AS INTEGER) AS id, group_name, table_name FROM (" + _GRID + ")"),
+    ("show_table_rules", "SHOW TABLE RULES FROM orders", "SELECT 'orders' AS table_name, 'o_custkey' AS \"column\", 'scriptExpr' AS type, '$0 % 32' AS expr, CAST(32 AS INTEGER) AS step"),
+    ("show_columns_like", "SHOW COLUMNS FROM orders LIKE 'o_order%'", "SELECT * FROM (VALUES ('o_orderkey', 'bigint', 'YES', '', CAST(NULL AS VARCHAR), ''), ('o_orderstatus', 'string', 'YES', '', NULL, ''), ('o_orderdate', 'timestamp_ntz', 'YES', '', NULL, ''), ('o_orderpriority', 'string', 'YES', '', NULL, '')) AS t(Field, Type, \"Null\", \"Key\", \"Default\", Extra)"),
+    ("explain_update", "EXPLAIN UPDATE orders SET o_totalprice = 0 WHERE o_custkey IN (1, 34)", "SELECT 'orders' AS table_name, '[0:1,2]' AS shards, CAST(2 AS INTEGER) AS n_shards, 'UPDATE' AS plan"),
+    ("explain_delete", "EXPLAIN DELETE FROM orders WHERE o_custkey = 42", "SELECT 'orders' AS table_name, '[1:10]' AS shards, CAST(1 AS INTEGER) AS n_shards, 'DELETE' AS plan"),
+    ("information_tables", "SELECT table_schema, table_name FROM information_schema.tables WHERE table_schema = 'shop'", "SELECT 'shop' AS table_schema, t AS table_name FROM (VALUES ('customer'), ('events'), ('orders'), ('pairs')) AS x(t)"),
+    ("group_concat", "SELECT o_custkey, GROUP_CONCAT(DISTINCT o_orderpriority ORDER BY o_orderpriority DESC SEPARATOR ';') AS p, GROUP_CONCAT(o_orderkey ORDER BY o_orderkey) AS k FROM orders WHERE o_custkey BETWEEN 1 AND 40 GROUP BY o_custkey DESC", "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority DESC) AS p, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS k FROM orders WHERE o_custkey BETWEEN 1 AND 40 GROUP BY o_custkey"),
+    ("filter_xor", "SELECT o_orderkey FROM orders WHERE o_custkey < 50 XOR o_totalprice > 100000 AND o_orderkey > 10", "SELECT o_orderkey FROM orders WHERE (o_custkey < 50) <> (o_totalprice > 100000 AND o_orderkey > 10)"),
+    ("fn_if_number", "SELECT o_orderkey, IF(MOD(o_orderkey, 3), 'yes', 'no') AS v, MOD(o_orderkey, 7) AS m, SQRT(o_totalprice - 100000) AS s, ASIN(o_orderkey - 1) AS a, ACOS(o_orderkey - 1) AS c FROM orders WHERE o_custkey < 60", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'yes' ELSE 'no' END AS v, o_orderkey % 7 AS m, CASE WHEN o_totalprice >= 100000 THEN sqrt(o_totalprice - 100000) END AS s, CASE WHEN abs(o_orderkey - 1) <= 1 THEN asin(o_orderkey - 1) END AS a, CASE WHEN abs(o_orderkey - 1) <= 1 THEN acos(o_orderkey - 1) END AS c FROM orders WHERE o_custkey < 60"),
+    ("fn_cast_more", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,1)) AS d, CAST(o_orderkey AS NCHAR(2)) AS n, CAST('12:34:56' AS TIME) AS t, HEX(CONVERT(o_orderstatus USING gbk)) AS g, CAST(CAST('2020-01-02' AS DATETIME) AS CHAR) AS h, SHA('abc') AS s, CONCAT('[', SPACE(3), ']') AS w FROM orders WHERE o_custkey < 60", "SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,4)), 1) AS DECIMAL(12,1)) AS d, left(CAST(o_orderkey AS VARCHAR), 2) AS n, '12:34:56' AS t, hex(o_orderstatus) AS g, '2020-01-02 00:00:00' AS h, 'a9993e364706816aba3e25717850c26c9cd0d89d' AS s, '[   ]' AS w FROM orders WHERE o_custkey < 60"),
+):
+    QUERIES[_name] = lambda spark, folder, sql=_sql: sharded(spark, folder).sql(sql)
+    ORACLE_SQL[_name] = _want
+
+for _name, _sql in {"show_sharding_table": "SHOW SHARDING TABLE FROM shop", "explain_shards": "EXPLAIN SELECT * FROM orders WHERE o_custkey IN (1, 2)"}.items():
     QUERIES[_name] = lambda spark, folder, sql=_sql: sharded(spark, folder).sql(sql)
 
 
-@_frame("seq_nextval", None)
+@_frame("seq_nextval", "SELECT CAST(1 AS BIGINT) AS \"ids.nextval\"")
 def _seq(spark, folder):
     engine = flat(spark, folder)
-    engine.sequences.create("ids", "snowflake")
+    engine.sequences.create("ids", "group")
     return engine.sql("SELECT ids.nextval")
 
 
+@_frame("limit_params", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 5")
+def _limit(spark, folder):
+    return sharded(spark, folder).sql("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT ? OFFSET ?", [7, 5])
+
+
 def _copy(spark: SparkSession, folder: str) -> Engine:
     """A table of its own to write to: customers on four shards."""
     engine = Engine(spark, Catalog(), "work")
@@ -281,6 +303,23 @@ _write("dml_delete", ["DELETE FROM customer WHERE c_custkey BETWEEN 10 AND 20 AN
 _write("dml_upsert", ["INSERT INTO customer (c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) VALUES (5, 'five', 1, 0.5, 'Z'), (900005, 'new', 1, 0.5, 'Z') ON DUPLICATE KEY UPDATE c_name = VALUES(c_name), c_acctbal = c_acctbal + 10"], "SELECT c_custkey, CASE WHEN c_custkey = 5 THEN 'five' ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_custkey = 5 THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer UNION ALL SELECT 900005, 'new', 1, 0.5, 'Z'")
 _write("dml_replace", ["REPLACE INTO customer (c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) VALUES (5, 'five', 1, 0.5, 'Z')"], "SELECT * FROM customer WHERE c_custkey <> 5 UNION ALL SELECT 5, 'five', 1, 0.5, 'Z'")
 
+_ROWS = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+_write("dml_replace_repeated", ["REPLACE INTO customer (c_custkey, c_name) VALUES (5, 'first'), (900006, 'once'), (5, 'last')"], _ROWS + " WHERE c_custkey <> 5 UNION ALL SELECT 5, 'last', NULL, NULL, NULL UNION ALL SELECT 900006, 'once', NULL, NULL, NULL")
+_write("dml_upsert_repeated", ["INSERT INTO customer (c_custkey, c_acctbal) VALUES (900010, 1.0), (900010, 2.0), (5, 3.0), (900010, 3.0) ON DUPLICATE KEY UPDATE c_acctbal = c_acctbal + VALUES(c_acctbal) * 10"], "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey = 5 THEN c_acctbal + 30 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer UNION ALL SELECT 900010, NULL, NULL, 51.0, NULL")
+_write("dml_insert_ignore", ["INSERT IGNORE INTO customer (c_custkey, c_name) VALUES (5, 'no'), (900009, 'yes'), (900009, 'no')"], _ROWS + " UNION ALL SELECT 900009, 'yes', NULL, NULL, NULL")
+_write("dml_insert_select", ["INSERT INTO customer (c_custkey, c_name, c_acctbal) SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey <= 100"], _ROWS + " UNION ALL SELECT c_custkey + 1000000, c_name, NULL, c_acctbal, NULL FROM customer WHERE c_custkey <= 100")
+_write("ddl_change_column", ["ALTER TABLE customer CHANGE c_name c_title VARCHAR(40)", "ALTER TABLE customer MODIFY COLUMN c_nationkey BIGINT", "ALTER TABLE customer RENAME COLUMN c_title TO c_name"], _ROWS.replace("c_nationkey", "CAST(c_nationkey AS BIGINT) AS c_nationkey"))
+
+
+@_frame("dml_auto_increment", "SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS id, c_custkey FROM customer WHERE c_custkey <= 50")
+def _auto(spark, folder):
+    engine = _copy(spark, folder)
+    engine.sql("CREATE TABLE numbered (id BIGINT AUTO_INCREMENT, c_custkey BIGINT, PRIMARY KEY (id)) DBPARTITION BY HASH(c_custkey) DBPARTITIONS 2 TBPARTITION BY HASH(c_custkey) TBPARTITIONS 2")
+    engine.sequences.create("numbered", "group")
+    engine.sql("INSERT INTO numbered (c_custkey) SELECT c_custkey FROM customer WHERE c_custkey <= 50 ORDER BY c_custkey")
+    return engine.sql("SELECT id, c_custkey FROM numbered")
+
+
 # ---------------------------------------------------------------- composites
 
 _text("tpch_q1", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus")
@@ -303,3 +342,8 @@ def _windows(spark, folder):
 def _sessions(spark, folder):
     got = sessions(_table(spark, folder, "events"))
     return got.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+for _name in ("tpch_q3", "tpch_q5", "tpch_q10", "tpch_q12"):
+    QUERIES[f"{_name}_sharded"] = lambda spark, folder, sql=TEXTS[_name]: sharded(spark, folder).sql(sql)
+    ORACLE_SQL[f"{_name}_sharded"] = ORACLE_SQL[_name]

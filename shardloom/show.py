@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from . import dialect as D
 from . import prune as P
+from .dml import explain as explain_write
 from .dml import literal
 from .sources import read_table
 from .sources.layout import PARTS
@@ -28,6 +29,9 @@ def run(engine, tokens: list[D.Token], params: list[Any] | None = None) -> DataF
     tokens = [D.Token("string", literal(next(values))) if t.text == "?" else t for t in tokens]
     text = re.sub(r"\s+", " ", D.text_of([t for t in tokens if t.kind not in ("comment", "hint")])).strip()
     plain = text.replace("`", "")
+    write = re.match(r"EXPLAIN (?=(?:INSERT|REPLACE|UPDATE|DELETE)\b)", text, re.I)
+    if write:
+        return explain_write(engine, D.tokenize(text[write.end() :]))
     for pattern, action in _STATEMENTS:
         m = re.fullmatch(pattern, plain, re.I | re.S)
         if m:
@@ -65,6 +69,11 @@ def _schema(engine, name):
     return table, read_table(engine.spark, table, set()).drop(*PARTS).schema
 
 
+def _columns_like(engine, name, pattern):
+    got = _columns(engine, name)
+    return got if pattern is None else engine.rows([tuple(r) for r in got.collect() if like(pattern, r["Field"])], got.schema)  # a row a column
+
+
 def _columns(engine, name, column=None):
     table, schema = _schema(engine, name)
     rows = [(f.name, f.dataType.simpleString(), "NO" if f.name.lower() in table.shard_keys() | {p.lower() for p in table.primary_key} else "YES", "PRI" if f.name in table.primary_key else "", None, "auto_increment" if f.name == table.auto_increment else "") for f in schema if column is None or f.name.lower() == column.lower()]
@@ -198,7 +207,7 @@ _STATEMENTS = [
     (rf"SHOW DATABASES{_LIKE}", _databases),
     (rf"SHOW TABLES(?: (?:FROM|IN) {_NAME})?{_LIKE}", _tables),
     (rf"SHOW OPEN TABLES(?: (?:FROM|IN) {_NAME})?{_LIKE}", _open_tables),
-    (rf"SHOW (?:FULL )?(?:COLUMNS|FIELDS) (?:FROM|IN) {_NAME}", _columns),
+    (rf"SHOW (?:FULL )?(?:COLUMNS|FIELDS) (?:FROM|IN) {_NAME}{_LIKE}", _columns_like),
     (rf"SHOW (?:INDEX|INDEXES|KEYS) (?:FROM|IN) {_NAME}", _index),
     (rf"SHOW CREATE TABLE {_NAME}", _create_table),
     (rf"SHOW CREATE SEQUENCE {_NAME}", _create_sequence),

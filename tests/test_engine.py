@@ -172,3 +172,46 @@ def test_python_shard_function(spark, tmp_path):
     e.catalog.add("d", t)
     assert e.sql("SELECT * FROM p WHERE name IN ('bb', 'ccc')").count() == 2
     assert render(e.last_shards["p"]) == "[0:2,3]"
+
+
+def test_keys_are_kept(engine):
+    from shardloom.dml import DuplicateKeyError
+
+    one = lambda sql: engine.sql(sql).first()[0]
+    for bad in ("(5, 'x')", "(901, 'x'), (901, 'y')"):
+        with pytest.raises(DuplicateKeyError):
+            engine.sql(f"INSERT INTO student (uid, name) VALUES {bad}")
+    assert count(engine, "SELECT * FROM student") == 100
+    assert one("INSERT IGNORE INTO student (uid, name) VALUES (5, 'no'), (902, 'yes'), (902, 'no')") == 1
+    assert one("REPLACE INTO student (uid, name) VALUES (5, 'first'), (5, 'last')") == 4
+    assert one("SELECT name FROM student WHERE uid = 5") == "last"
+    assert one("INSERT INTO student (uid, score) VALUES (903, 1), (903, 2), (903, 3) ON DUPLICATE KEY UPDATE score = score + VALUES(score) * 10") == 5
+    assert one("SELECT score FROM student WHERE uid = 903") == 51.0
+
+
+def test_a_swap_that_died_is_undone(engine):
+    from shardloom.dml import _fs, recover
+
+    table = engine.table("student")
+    fs, path = _fs(engine, table.path)
+    fs.mkdirs(path(f"{table.path}.old-x/__db=0"))
+    fs.rename(path(f"{table.path}/__db=0/__tb=5"), path(f"{table.path}.old-x/__db=0/__tb=5"))
+    engine.spark.catalog.refreshByPath(table.path)
+    assert count(engine, "SELECT * FROM student WHERE uid IN (5, 37)") == 0
+    recover(engine, table)
+    assert count(engine, "SELECT * FROM student WHERE uid IN (5, 37)") == 2
+    assert not fs.exists(path(f"{table.path}.old-x"))
+
+
+def test_more_statements(engine):
+    assert engine.sql("EXPLAIN INSERT INTO student (uid, name) VALUES (1, 'a'), (33, 'b')").first()["shards"] == "[0:1]"
+    assert engine.sql("EXPLAIN DELETE FROM student WHERE uid = 42").first()["n_shards"] == 1
+    engine.sql("ALTER TABLE student CHANGE name title VARCHAR(20)")
+    assert [r[0] for r in engine.sql("SHOW COLUMNS FROM student LIKE 't%'").collect()] == ["title"]
+    engine.sql("ALTER TABLE student RENAME COLUMN title TO name")
+    engine.sql("RENAME TABLE student TO pupil, pupil TO learner")
+    assert count(engine, "SELECT * FROM learner WHERE uid = 42") == 1
+    assert [r[0] for r in engine.sql("SELECT GROUP_CONCAT(uid ORDER BY uid DESC SEPARATOR '/') AS g FROM learner WHERE uid IN (1, 2, 33)").collect()] == ["33/2/1"]
+    assert [r[0] for r in engine.sql("SELECT birth_year FROM learner GROUP BY birth_year DESC LIMIT 2").collect()] == [1996, 1995]
+    assert engine.sql("SELECT 1 XOR 1 AS a, IF(2, 'y', 'n') AS b, MOD(7, 3) AS c").collect()[0] == (False, "y", 1)
+    assert engine.spark.catalog.listTables() == [t for t in engine.spark.catalog.listTables() if not t.name.startswith("sl_learner")]

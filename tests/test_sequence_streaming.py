@@ -36,3 +36,21 @@ def test_windows_on_a_stream_equal_those_on_a_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(str, spark.table("win").collect())) == sorted(map(str, event_windows(rows).collect()))
+
+
+def test_reserved_ranges(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shardloom.sequence import Group, Snowflake
+
+    clock = iter([2_000_000_000_000] * 3)
+    s = Snowflake(3, lambda: next(clock))
+    first = s.next()
+    make, last = s.reserve(5000)
+    got = [r[0] for r in spark.range(5000).select(make(F.col("id"))).collect()]
+    assert got == sorted(set(got)) and got[0] == first + 1 and got[-1] == last and s.next() > last
+    one, two = Group("g", 3, str(tmp_path / "c.json")), Group("g", 3, str(tmp_path / "c.json"))
+    assert one.next() == 1
+    make, last = two.reserve(4)
+    assert [r[0] for r in spark.range(4).select(make(F.col("id"))).collect()] == [4, 5, 6, 7] and last == 7
+    assert one.block(3) == [2, 3, 8]
