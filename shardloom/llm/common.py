@@ -55,11 +55,23 @@ def _drop_written() -> None:
             return
 
 
+#: Spark's setting to delete a query's shuffle files when it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage and survives lost executors.
+
+    The query's shuffle files go as soon as all is written; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shardloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     if not _written:
         atexit.register(_drop_written)
     _written.append((spark, path))

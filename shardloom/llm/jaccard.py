@@ -331,10 +331,8 @@ def survivors(made: DataFrame) -> DataFrame:
     entries = made.where("sigs is not null").select("node", F.explode("sigs").alias("sig"))
     shared = entries.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     shared = C.materialize(shared.select("sig"))
-    C.release(made.sparkSession)
     # each side has a shuffle of its own, so a hot signature's partition can be split
     found = C.materialize(entries.join(shared, "sig"))
-    C.release(made.sparkSession)
     found = C.replace(found, found.distinct().select("sig", "node", F.shiftrightunsigned("sig", 58).cast("int").alias("band")))
     C.drop(shared)
     held = found.groupBy("node", "band").agg(F.count("*").alias("held"))
