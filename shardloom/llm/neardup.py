@@ -42,7 +42,7 @@ WINDOW = 128
 #: Windows that a partition of the order holds, at least, so that few end at its boundary.
 WINDOWS = 32
 #: Vectors of a component that are compared at a time.
-BLOCK = 512
+BLOCK = 1024
 #: Vectors of a label that measure() takes bits from, those it takes them for, and passes it looks at.
 SAMPLE, QUERIES, PILOTS = 4096, 256, 8
 #: Passes a label may need before it is compared whole instead, if small enough; and what stands for no number being enough.
@@ -249,7 +249,8 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links) for `members` (node, root, copies, embedding): links within each component, copies counted."""
     sizes = C.materialize(members.groupBy("root").agg(F.count("*").alias("size")))  # so that a large root's rows can be split in the join
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK))
+    # few rows a block in small components, and no more copies of each vector than its root calls for in large ones
+    blocks = F.greatest(F.ceil(F.sqrt(F.col("size") / 16)), F.ceil(F.col("size") / BLOCK))
     spread = members.join(sizes, "root").withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     # a block meets each block (itself too) once: as the smaller of the two or as the larger
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
