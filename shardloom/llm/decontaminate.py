@@ -128,7 +128,8 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = GRAM
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = GRAM, share: int = 20) -> DataFrame:
     """The rows of `docs`, all columns, but for contaminated documents."""
-    found = contamination(docs, items, window, k)
+    # stored, so that its size is known and the rows need not be shuffled for a small one
+    found = C.materialize(contamination(docs, items, window, k).select("doc_id", "body", "size", "n_hit"))
     # whole rows travel in one column, so that theirs may have any names
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("b"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("s"), F.size(N.cased_words(F.col("text"))).alias("n"))
     bad = F.col("i").eqNullSafe(found["doc_id"]) & (F.col("b") == found["body"]) & (F.col("s") == found["size"]) & (found["n_hit"] * share >= F.col("n"))

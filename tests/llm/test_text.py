@@ -1,5 +1,6 @@
 """Words, hashes, token counts and the text models, against plain Python."""
 
+import math
 import re
 
 import numpy as np
@@ -237,3 +238,82 @@ def test_folds_follow_crc32(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
     assert spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id").select(C.held_out("doc_id", 3, 1), C.learnable("doc_id", 3, 1)).first()[:] == (False, False)
     assert F.lit(1) is not None
+
+
+# ---------------------------------------------------------------- models against plain loops
+
+
+def test_language_scores_against_direct_convolution():
+    rng = np.random.default_rng(11)
+    width = langid.FILTERS * len(langid.WIDTHS)
+    filters = [rng.normal(size=(w, langid.DIM, langid.FILTERS)) for w in langid.WIDTHS]
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(256, langid.DIM)), filters, rng.normal(size=width), rng.normal(size=(width, 3)), rng.normal(size=3))
+    texts = ["", "short", "Ünïcode ÄÖ " * 9, "x" * langid.WINDOW, "The Quick brown fox " * 40]
+    best, score = model.predict(*C.texts_of([{"text": t} for t in texts]), model.tables())
+    for i, t in enumerate(texts):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+        starts = [min(k * langid.WINDOW, max(0, len(low) - langid.WINDOW)) for k in range(max(1, -(-len(low) // langid.WINDOW)))]
+        found = []
+        for s in starts:
+            w = low[s : s + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            pooled = []
+            for f in filters:
+                pooled += np.max([sum(model.embed[w[p + j]] @ f[j] for j in range(len(f))) for p in range(langid.WINDOW - len(f) + 1)], axis=0).tolist()
+            z = np.maximum(np.array(pooled) + model.fbias, 0) @ model.out + model.bias
+            found.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+        mean = np.mean(found, axis=0)
+        assert best[i] == mean.argmax() and score[i] == pytest.approx(mean.max(), abs=1e-4)
+
+
+def test_quality_scores_against_a_plain_average():
+    rng = np.random.default_rng(12)
+    model = quality.Model(rng.normal(size=1 << quality.BITS).astype(np.float32), 0.3)
+    texts = ["", "one", "a a a", "The cat  sat\ton the mat the mat", "é È ünder", "x" * 50 + " y"]
+    got = model.score(*C.texts_of([{"text": t} for t in texts]))
+    cut, mask = 64 - quality.BITS, (1 << 32) - 1
+
+    def hash_of(w):
+        own = np.frombuffer(w, np.uint8)
+        return int(C.Hashes(own).of(np.array([0]), np.array([len(w)]))[0])
+
+    for t, score in zip(texts, got, strict=True):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", t.encode())
+        hashes = [hash_of(w) for w in words]
+        buckets = [h >> cut for h in hashes]
+        for a, b in zip(hashes, hashes[1:], strict=False):
+            pair = 0x1234567 if a == b else int(C.mix(np.array([(a * 31 + b) % (1 << 64)], np.uint64))[0])
+            buckets.append(pair >> cut)
+        raw = t.encode()
+        for k, mul in ((3, 2654435761), (4, 2246822519)):
+            for i in range(len(raw) - k + 1):
+                if re.search(rb"[\x20\x09-\x0D]", raw[i + 1 : i + k - 1]):
+                    continue  # a gram may begin or end with a space, but holds none inside
+                g = int.from_bytes(raw[i : i + k], "little") * mul & mask
+                buckets.append(((g ^ g >> 15) * 0x85EBCA6B & mask) >> 32 - quality.BITS)
+        mean = float(np.mean([model.weight[b] for b in buckets])) if buckets else 0.0
+        assert score == pytest.approx(1 / (1 + math.exp(-mean - 0.3)), abs=1e-6)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the driver's tables")
+    import corpus_pipeline as P
+
+    folder = "/root/testdata/sf0.001"
+    own = C.table(spark, folder, "documents")
+    some = own.where("doc_id < 60").unionByName(own.where("doc_id < 3"))  # rows alike
+    long = own.where("doc_id = 1").withColumn("text", F.repeat("text", 300)).withColumn("doc_id", F.lit(900_001).cast("long"))
+    null = {c: F.lit(None).cast(own.schema[c].dataType) for c in own.columns}
+    docs = some.unionByName(long).unionByName(own.where("doc_id = 2").withColumns(null)).unionByName(own.where("doc_id = 4").withColumn("text", F.lit("")))
+    odd = ("row", "rest", "_n", "_h", "node", "root", "body", "size", "n", "i", "b", "m", "own", "_y", "held_out")
+    docs = C.materialize(docs.withColumns({c: F.lit(3) for c in odd}))
+    for k, (name, stage) in enumerate(P.STAGES):
+        got = stage(spark, docs, folder)
+        rows = got.collect()
+        assert all(r[c] == 3 for r in rows for c in odd), name
+        if k < len(P.STAGES) - 1:
+            assert got.columns == docs.columns and 0 < len(rows) <= docs.count(), name
+        none = stage(spark, docs.limit(0), folder)
+        assert none.count() == 0, name
