@@ -95,7 +95,7 @@ def replace(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of shuffle files whose result has been written: Spark deletes them when the driver collects its garbage."""
+    """Let go of plans and shuffle files whose result has been written: both go when the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
