@@ -250,6 +250,7 @@ _GRID = "SELECT range AS id, printf('shop_%04d', CAST(floor(range / 8) AS INTEGE
 for _name, _sql, _want in (
     ("show_topology", "SHOW TOPOLOGY FROM orders", "SELECT CAST(id AS INTEGER) AS id, group_name, table_name FROM (" + _GRID + ")"),
     ("show_table_rules", "SHOW TABLE RULES FROM orders", "SELECT 'orders' AS table_name, 'o_custkey' AS \"column\", 'scriptExpr' AS type, '$0 % 32' AS expr, CAST(32 AS INTEGER) AS step"),
+    ("check_table", "CHECK TABLE orders, customer", "SELECT * FROM (VALUES ('shop.orders', 'check', 'status', 'OK'), ('shop.customer', 'check', 'status', 'OK')) AS x(\"Table\", \"Op\", \"Msg_type\", \"Msg_text\")"),
     ("show_columns_like", "SHOW COLUMNS FROM orders LIKE 'o_order%'", "SELECT * FROM (VALUES ('o_orderkey', 'bigint', 'YES', '', CAST(NULL AS VARCHAR), ''), ('o_orderstatus', 'string', 'YES', '', NULL, ''), ('o_orderdate', 'timestamp_ntz', 'YES', '', NULL, ''), ('o_orderpriority', 'string', 'YES', '', NULL, '')) AS t(Field, Type, \"Null\", \"Key\", \"Default\", Extra)"),
     ("explain_update", "EXPLAIN UPDATE orders SET o_totalprice = 0 WHERE o_custkey IN (1, 34)", "SELECT 'orders' AS table_name, '[0:1,2]' AS shards, CAST(2 AS INTEGER) AS n_shards, 'UPDATE' AS plan"),
     ("explain_delete", "EXPLAIN DELETE FROM orders WHERE o_custkey = 42", "SELECT 'orders' AS table_name, '[1:10]' AS shards, CAST(1 AS INTEGER) AS n_shards, 'DELETE' AS plan"),
@@ -308,6 +309,7 @@ _write("dml_replace_repeated", ["REPLACE INTO customer (c_custkey, c_name) VALUE
 _write("dml_upsert_repeated", ["INSERT INTO customer (c_custkey, c_acctbal) VALUES (900010, 1.0), (900010, 2.0), (5, 3.0), (900010, 3.0) ON DUPLICATE KEY UPDATE c_acctbal = c_acctbal + VALUES(c_acctbal) * 10"], "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey = 5 THEN c_acctbal + 30 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer UNION ALL SELECT 900010, NULL, NULL, 51.0, NULL")
 _write("dml_insert_ignore", ["INSERT IGNORE INTO customer (c_custkey, c_name) VALUES (5, 'no'), (900009, 'yes'), (900009, 'no')"], _ROWS + " UNION ALL SELECT 900009, 'yes', NULL, NULL, NULL")
 _write("dml_insert_select", ["INSERT INTO customer (c_custkey, c_name, c_acctbal) SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey <= 100"], _ROWS + " UNION ALL SELECT c_custkey + 1000000, c_name, NULL, c_acctbal, NULL FROM customer WHERE c_custkey <= 100")
+_write("table_maintenance", ["OPTIMIZE TABLE customer", "REPAIR TABLE customer", "DELETE FROM customer WHERE c_custkey = 3"], _ROWS + " WHERE c_custkey <> 3")
 _write("ddl_change_column", ["ALTER TABLE customer CHANGE c_name c_title VARCHAR(40)", "ALTER TABLE customer MODIFY COLUMN c_nationkey BIGINT", "ALTER TABLE customer RENAME COLUMN c_title TO c_name"], _ROWS.replace("c_nationkey", "CAST(c_nationkey AS BIGINT) AS c_nationkey"))
 
 

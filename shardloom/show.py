@@ -7,14 +7,17 @@ import json
 import re
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import dialect as D
 from . import prune as P
+from .dml import _fs, literal, replace_partitions
 from .dml import explain as explain_write
-from .dml import literal
 from .sources import read_table
-from .sources.layout import PARTS
+from .sources.layout import PARTS, with_shards
 
 _EMPTY = {
     "WARNINGS": "Level string, Code int, Message string",
@@ -106,8 +109,10 @@ def _table_status(engine, database, pattern):
     rows = []
     for t in engine.catalog.tables(database or engine.database):
         if t.path and (pattern is None or like(pattern, t.name)):
-            rows.append((t.name, "Parquet", read_table(engine.spark, t, identity=False).count()))
-    return engine.rows(rows, "Name string, Engine string, Rows long")
+            fs, path = _fs(engine, t.path)
+            n, size = read_table(engine.spark, t, identity=False).count(), fs.getContentSummary(path(t.path)).getLength()
+            rows.append((t.name, "Parquet", n, size // n if n else 0, size))
+    return engine.rows(rows, "Name string, Engine string, Rows long, Avg_row_length long, Data_length long")
 
 
 def _variables(engine, pattern):
@@ -158,8 +163,37 @@ def _users(engine, _tenant):
     return engine.rows([(u,) for u in engine.catalog.users], "user_name string")
 
 
+def _check(engine, table) -> tuple[str, str]:
+    """Reads every value once; a row must lie in the shard that its keys name."""
+    rows, sql = read_table(engine.spark, table, identity=False), table.layout_sql()
+    if sql:
+        there = F.coalesce(F.expr(f"{sql[1]} = __tb AND {sql[0]} = __db"), F.lit(False))
+    else:
+        rows = with_shards(rows.withColumnsRenamed({p: f"{p}_was" for p in PARTS}), table)
+        there = (F.col("__db") == F.col("__db_was")) & (F.col("__tb") == F.col("__tb_was"))
+    try:
+        strays = rows.agg(F.count_if(~there).alias("n"), F.count(F.xxhash64(*[F.col(c) for c in rows.columns])).alias("read")).first()["n"]
+    except (PySparkException, Py4JJavaError):  # a file that is gone or cannot be read
+        return "error", "Corrupt"
+    return ("error", f"{strays} rows outside their shard") if strays else ("status", "OK")
+
+
+def _rewrite(engine, table, repair: bool) -> tuple[str, str]:
+    """The table's files written anew, few and of a size; a repair also brings strayed rows home."""
+    rows = read_table(engine.spark, table, identity=False)
+    replace_partitions(engine, table, with_shards(rows.drop(*PARTS), table) if repair else rows, None)
+    return "status", "OK"
+
+
 def _maintenance(engine, op, names):
-    rows = [(f"{engine.database}.{engine.table(n.strip()).name}", op.lower(), "status", "OK") for n in names.split(",")]
+    rows = []
+    for table in [engine.table(n.strip()) for n in names.split(",")]:
+        kind, text = "status", "OK"
+        if table.path and op.upper() == "CHECK":
+            kind, text = _check(engine, table)
+        elif table.path and op.upper() in ("OPTIMIZE", "REPAIR"):
+            kind, text = _rewrite(engine, table, op.upper() == "REPAIR")
+        rows.append((f"{engine.database}.{table.name}", op.lower(), kind, text))
     return engine.rows(rows, "Table string, Op string, Msg_type string, Msg_text string")
 
 
@@ -188,7 +222,8 @@ def _use(engine, name):
 
 
 def _kill(engine, _kind, number):
-    engine.spark.sparkContext.cancelJobGroup(number)
+    """Cancels the job that SHOW PROCESSLIST gives that id."""
+    engine.spark.sparkContext._jsc.sc().cancelJob(int(number))
     return engine.rows([(0, 0)], "affected long, last_insert_id long")
 
 

@@ -1,3 +1,5 @@
+import glob
+
 import pytest
 
 from shardloom.catalog import Catalog, make_table
@@ -215,3 +217,21 @@ def test_more_statements(engine):
     assert [r[0] for r in engine.sql("SELECT birth_year FROM learner GROUP BY birth_year DESC LIMIT 2").collect()] == [1996, 1995]
     assert engine.sql("SELECT 1 XOR 1 AS a, IF(2, 'y', 'n') AS b, MOD(7, 3) AS c").collect()[0] == (False, "y", 1)
     assert engine.spark.catalog.listTables() == [t for t in engine.spark.catalog.listTables() if not t.name.startswith("sl_learner")]
+
+
+def test_maintenance(engine):
+    table = engine.table("student")
+    engine.spark.range(1).selectExpr("64L AS uid", "'stray' AS name", "1D AS score", "1990 AS birth_year", "1 AS __db", "9 AS __tb").write.mode("append").partitionBy("__db", "__tb").parquet(table.path)
+    assert engine.sql("CHECK TABLE student").first()["Msg_text"] == "1 rows outside their shard"
+    assert count(engine, "SELECT * FROM student WHERE name = 'stray'") == 0
+    engine.sql("OPTIMIZE TABLE student")
+    assert engine.sql("CHECK TABLE student").first()["Msg_type"] == "error"
+    engine.sql("REPAIR TABLE student")
+    assert engine.sql("CHECK TABLE student").first()["Msg_text"] == "OK"
+    assert count(engine, "SELECT * FROM student WHERE uid = 64") == 2 and count(engine, "SELECT * FROM student") == 101
+    got = engine.sql("SHOW TABLE STATUS LIKE 'student'").first()
+    assert got["Rows"] == 101 and got["Data_length"] // 101 == got["Avg_row_length"] > 0
+    files = glob.glob(f"{table.path.removeprefix('file://')}/*/*/*.parquet")
+    with open(files[0], "wb") as f:
+        f.write(b"no parquet")
+    assert engine.sql("CHECK TABLE student").first()["Msg_type"] == "error"
