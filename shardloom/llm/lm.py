@@ -14,13 +14,13 @@ rare words and blocks of all other words; then among the words of the block.
 Both are log-bilinear with the same contexts and normalised exactly, at about
 twice the square root of the vocabulary.
 
-The model is fitted on all learning texts, of whose tokens one in `THIN` is drawn
-as a target (in small corpora several times, up to `DRAWS`): Spark's tasks take a
-part of the texts each, and their changes are averaged by how often each row
-changed, in groups of tasks first, in three rounds over a sixteenth, three and
-twelve sixteenths of the texts. Draws so grow in step with the corpus. Noise
-words come from the full unigram distribution of the step. Results depend on
-how the rows are dealt to tasks, as training does.
+The model is fitted on all learning texts, whose every token is a target (in
+small corpora several times, up to `DRAWS`): Spark's tasks take a part of the
+texts each, and their changes are averaged by how often each row changed, in
+groups of tasks first, in three rounds over a sixteenth, three and twelve
+sixteenths of the texts, so that each text is in one of them. Noise words come
+from the full unigram distribution of the step. Results depend on how the rows
+are dealt to tasks, as training does.
 
 Within the class of rare words a word has (c + 1) / (N' + V' + 1), N' and V'
 being that class's tokens and distinct words; so the model's probabilities sum
@@ -51,8 +51,6 @@ from . import common as C
 
 #: Times a word must be seen to get vectors of its own: FLOOR, or the root of all tokens over ROOT if that is more.
 FLOOR, ROOT = 16, 40
-#: One in so many tokens, drawn anew in each repetition, is a target of training.
-THIN = 2
 #: Words told in the first step; four times as many are still told in one.
 HEAD = 128
 DIM = 16
@@ -276,10 +274,10 @@ class Trainer:
         self.change(np.concatenate([a, b]), context)
         self.move(slice(own.c1, own.rows), last)
 
-    def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, thin: int) -> None:
-        """One pass over one in `thin` of the given tokens."""
+    def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """One pass over the given tokens."""
         own = self.own
-        order = self.rng.permutation(len(target))[: -(-len(target) // thin)]
+        order = self.rng.permutation(len(target))
         target, one, two = target[order], one[order], two[order]
         unit = own.units(target)
         for i in range(0, len(unit), BATCH):
@@ -294,7 +292,7 @@ class Trainer:
                 self.step(own.first + target[some] - own.head, one[some], two[some], noise)
 
 
-def changes(texts: DataFrame, short: np.ndarray, table: np.ndarray, unigram: np.ndarray, repeats: int, thin: int, turn: int) -> DataFrame:
+def changes(texts: DataFrame, short: np.ndarray, table: np.ndarray, unigram: np.ndarray, repeats: int, turn: int) -> DataFrame:
     """(part, rows, sums): the rows of the table that change in any task, packed, with weights and weighted sums of their changes.
 
     Tasks pack their changes by part of the table, since a number a column takes
@@ -314,7 +312,7 @@ def changes(texts: DataFrame, short: np.ndarray, table: np.ndarray, unigram: np.
 
         def learn():
             for _ in range(repeats if held else 0):
-                trainer.learn(*(np.concatenate(x) for x in zip(*held, strict=True)), thin)
+                trainer.learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
 
         for batch in batches:
@@ -353,7 +351,7 @@ def changes(texts: DataFrame, short: np.ndarray, table: np.ndarray, unigram: np.
             return got
 
 
-def fit(texts: DataFrame, counts: DataFrame, floor: int = FLOOR, root: int = ROOT, thin: int = THIN) -> Model:
+def fit(texts: DataFrame, counts: DataFrame, floor: int = FLOOR, root: int = ROOT) -> Model:
     """`counts`: what count_words gives for `texts`, stored."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = int(total["n"] or 0), int(total["v"])
@@ -364,10 +362,10 @@ def fit(texts: DataFrame, counts: DataFrame, floor: int = FLOOR, root: int = ROO
     rest = tokens - int(c.sum())
     table = beginning(c.astype(float), rest)
     unigram = table[: Layout(len(short)).context, DIM].copy()
-    repeats = min(REPEATS, max(1, -(-DRAWS * thin // max(1, tokens))))
+    repeats = min(REPEATS, max(1, -(-DRAWS // max(1, tokens))))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(16))
     for turn, (lo, hi) in enumerate(ROUNDS if tokens else ()):
-        for r in changes(texts.where((share >= lo) & (share < hi)), short, table, unigram, repeats, thin, turn).collect():
+        for r in changes(texts.where((share >= lo) & (share < hi)), short, table, unigram, repeats, turn).collect():
             sums = np.frombuffer(r["sums"], np.float32).reshape(-1, DIM + 3)
             table[r["part"] * PART + np.frombuffer(r["rows"], np.uint16).astype(np.int64)] += sums[:, 1:] / sums[:, :1]
         C.release(texts.sparkSession)

@@ -126,6 +126,19 @@ def test_lm_vocabulary_and_training_grow_with_the_corpus(spark):
     assert gain > 0.3
 
 
+def test_lm_learns_from_every_token(spark, monkeypatch):
+    monkeypatch.setattr(lm, "DRAWS", 1)  # as in large corpora: one pass
+    docs = documents(spark, [(i, " ".join(f"w{i}_{j}" for j in range(10))) for i in range(400)])
+    texts = docs.where(C.learnable("doc_id", 7, 2))
+    model = lm.fit(texts, C.materialize(lm.count_words(texts)), floor=1)
+    own = lm.Layout(len(model.short))
+    assert model.distinct == own.words and own.blocks > 1
+    # each word but the end token stands once, so its vector moves only if that one token is a target (or noise)
+    start = lm.beginning(np.array([texts.count()] + [1.0] * (own.words - 1)), 0)
+    moved = (model.table != start).any(1)
+    assert moved[: own.head].all() and moved[own.first : own.context].all()
+
+
 def test_mobius_scan():
     rng = np.random.default_rng(1)
     a, b, c, d = rng.random((4, 1000)) + 0.1
