@@ -105,12 +105,13 @@ def sha1(x: Column) -> Column:
     return F.sha1(x.cast("string").cast("binary"))
 
 
-def format_bytes(x: Column) -> Column:
-    """`N bytes` below 1024, else two digits of the largest fitting unit."""
+def format_bytes(x: Column, largest: str = "YiB") -> Column:
+    """`N bytes` below 1024, else two digits of the largest fitting unit, none above `largest`."""
     v = x.cast("double")
+    units = _UNITS[: _UNITS.index(largest) + 1]
     out = F.when(F.abs(v) < 1024, F.concat(v.cast("bigint").cast("string"), F.lit(" bytes")))
-    for i, unit in enumerate(_UNITS):
+    for i, unit in enumerate(units):
         scaled = v / F.lit(1024.0 ** (i + 1))
-        fits = F.abs(v) < 1024.0 ** (i + 2) if i < len(_UNITS) - 1 else F.lit(True)
+        fits = F.abs(v) < 1024.0 ** (i + 2) if i < len(units) - 1 else F.lit(True)
         out = out.when(fits, F.concat(F.replace(F.format_number(scaled, 2), F.lit(","), F.lit("")), F.lit(f" {unit}")))
     return F.when(v.isNotNull(), out)

@@ -35,6 +35,21 @@ def test_matches_sql(spark, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(con.execute(ORACLE_SQL[name]).fetchdf())
 
 
+def test_format_bytes_ends_at_gib(spark, tmp_path):
+    """Keys below and above each change of unit, 2^40 bytes and more included, where the SQL stays with GiB."""
+    import duckdb
+
+    from shardloom.queries import ORACLE_SQL, QUERIES
+
+    keys = [None, 0, 11, 12, 362, 363, 11585, 11586, 370727, 370728, 899_999, 8_999_999, 1_073_741_823]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = {k: b for k, b in con.execute(ORACLE_SQL["fn_format_bytes"]).fetchall()}
+    assert want[370_728] == "1024.00 GiB"
+    assert {r.o_orderkey: r.b for r in QUERIES["fn_format_bytes"](spark, str(tmp_path)).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
